@@ -46,3 +46,27 @@ def held_out(doc_id) -> F.Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few numbers each that may be broadcast: some tens of MB at most.
+SMALL = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """df must be cheap to count (a written table). Beyond the limit the join shuffles instead."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each connected component of edges (a, b); in Spark, one written table a round."""
+    both = saved(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = saved(spark, both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        least = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # pointer jumping: the label's own label
+        via = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
+        new = saved(spark, least.join(via, F.col("label") == F.col("via")).select("node", "old", F.least("label", "next").alias("label")), "labels")
+        if not new.filter("label <> old").limit(1).count():
+            return new.select("node", "label")
+        labels = new.select("node", "label")
