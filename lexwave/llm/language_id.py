@@ -121,3 +121,19 @@ def language_id(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataF
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id(spark, docs, docs)
+
+
+def _keep(model):
+    predict = _predict(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (out,) = predict(iter([pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], names=["text"])]))
+            yield batch.filter(pa.array([x != UND for x in out.column("lang_pred").to_pylist()]))
+
+    return run
+
+
+def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without those that get `und`; all their columns. The model is learned from docs' own text and lang."""
+    return docs.mapInArrow(_keep(learn(docs)), docs.schema)
