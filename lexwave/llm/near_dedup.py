@@ -31,6 +31,8 @@ from .words import each, mix
 K, SIMILARITY, RARE, DAMP, BANDS, ROWS = 5, 0.8, 1e-3, 0.25, 14, 4
 #: Distinct hashes a task holds before it hands them on; pairs that share one copy of a first member's shingles.
 _HOLD, _SHARE, _EPS = 1 << 22, 2000, 1e-9
+#: Bytes of shingles of the documents in question up to which they are broadcast instead of shuffled with the pairs.
+_FEW_BYTES = 24 << 20
 
 
 def _gamma2(n: int = 1 << 16) -> np.ndarray:
@@ -238,11 +240,17 @@ def _similarities(spark: SparkSession, pairs: DataFrame, docs: DataFrame, weigh:
     ids = saved(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{what}-ids")
     texts = docs.join(broadcast_if_small(ids), docs.doc_id == ids.id).select("doc_id", "text")
     shingles = saved(spark, texts.mapInArrow(_weighted(weigh), "doc_id long, h binary, w binary").dropDuplicates(["doc_id"]), f"{what}-sets")
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _SHARE).cast("int").alias("copies"))
-    salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-    left = shingles.join(copies, shingles.doc_id == copies.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("h").alias("ha"), F.col("w").alias("wa"))
     right = shingles.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    return saved(spark, salted.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
+    size = shingles.agg(F.sum(F.length("h") + F.length("w"))).first()[0] or 0
+    if size <= _FEW_BYTES:
+        left = shingles.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
+        met = pairs.repartition(partitions(spark)).join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    else:
+        copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _SHARE).cast("int").alias("copies"))
+        salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+        left = shingles.join(copies, shingles.doc_id == copies.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("h").alias("ha"), F.col("w").alias("wa"))
+        met = salted.join(left, ["a", "salt"]).join(right, "b")
+    return saved(spark, met.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
 
 
 def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +261,9 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     # equal texts: the smallest doc_id stands for them
     firsts = saved(spark, marks.filter(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "firsts")
     members = firsts.select("id", "total", F.posexplode("bands").alias("band", "bucket"))
-    heads = members.groupBy("band", "bucket").agg(F.min(F.struct("id", "total")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # each band draws its own heads, so that a group's members meet several of it
+    order = F.struct(F.xxhash64("id", "band"), "id")
+    heads = members.groupBy("band", "bucket").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     joined = saved(spark, members.join(heads, ["band", "bucket"]).select("band", "bucket", "id", "total", F.col("head.id").alias("a")), "members")
     pairs = joined.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     stars = _similarities(spark, pairs, docs, weigh, "stars")
@@ -261,13 +271,14 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     known = joined.join(stars, (joined.a == stars.a) & (joined.id == stars.b), "left").select("band", "bucket", "id", "total", F.when(joined.id == joined.a, 0.0).otherwise(1 - F.col("sim")).alias("d"))
     far = 1 - SIMILARITY + _EPS
     bin_ = F.floor(F.log("total") / F.log(F.lit(1 / SIMILARITY)))
-    odd = known.filter(F.col("d") > far).select("band", "bucket", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("d").alias("db"), bin_.alias("bin"))
-    some = odd.limit(1).count()
+    labels = components(spark, stars.filter(F.col("sim") >= SIMILARITY))
+    known = saved(spark, known.join(labels, F.col("id") == F.col("node"), "left").select("band", "bucket", "id", "total", "d", F.coalesce("label", "id").alias("comp")), "known")
+    odd = known.filter(F.col("d") > far).select("band", "bucket", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("d").alias("db"), bin_.alias("bin"), F.col("comp").alias("cb"))
     links = stars
-    if some:
+    if odd.limit(1).count():
         with_odd = odd.select("band", "bucket").distinct()
-        other = known.join(with_odd, ["band", "bucket"], "left_semi").select("band", "bucket", F.col("id").alias("a"), F.col("total").alias("ta"), F.col("d").alias("da"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
-        bounded = (F.abs(F.col("da") - F.col("db")) <= far) & (F.least("ta", "tb") >= (SIMILARITY - _EPS) * F.greatest("ta", "tb")) & (F.col("a") != F.col("b")) & ((F.col("da") <= far) | (F.col("a") < F.col("b")))
+        other = known.join(with_odd, ["band", "bucket"], "left_semi").select("band", "bucket", F.col("id").alias("a"), F.col("total").alias("ta"), F.col("d").alias("da"), F.col("comp").alias("ca"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
+        bounded = (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & (F.least("ta", "tb") >= (SIMILARITY - _EPS) * F.greatest("ta", "tb")) & (F.col("a") != F.col("b")) & ((F.col("da") <= far) | (F.col("a") < F.col("b")))
         rest = odd.join(other, ["band", "bucket", "bin"]).filter(bounded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = saved(spark, rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
