@@ -27,7 +27,7 @@ from .words import BLOCK as TEXT_BLOCK
 from .words import blocks, utf8
 
 BLOCK, CHUNK, END, LEVEL = 1 << 16, 1 << 18, 2, 1
-_CACHE_PIECES = 800_000
+_CACHE_PIECES = 450_000
 #: Put before a piece that no blank stands before, and a line feed on its own.
 MARK = "\x01"
 FEED = MARK + "\n"
@@ -200,7 +200,7 @@ def _write(path: str):
         for batch in batches:
             text = batch.column("text").fill_null("")
             _, off = utf8(text)
-            for a, b in blocks(off, 2 * TEXT_BLOCK):
+            for a, b in blocks(off, TEXT_BLOCK):
                 ids, at = encoder(text.slice(a, b - a))
                 at_end = at[1:] + np.arange(1, b - a + 1)
                 out = np.empty(len(ids) + b - a, np.int32)
