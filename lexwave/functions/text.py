@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lexwave.sources import lexicon as X
 
 
+def half_up(x: Column, places: int) -> Column:
+    """Rounds halves up; the nudge keeps a half that is stored a little below itself from being rounded down."""
+    return F.round(x + 1e-9, places)
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -48,7 +53,7 @@ def virality(text: Column) -> dict[str, Column]:
     velocity = F.least(F.lit(1.0), words(text) / F.lit(40.0))
     cues = count_of(low, X.SPREAD)
     acceleration = F.least(F.lit(1.0), F.when(has_any(low, ["velocity", "narrative"]), 0.6).otherwise(0.3) + 0.08 * cues)
-    return {"velocity": F.round(velocity, 3), "acceleration": F.round(acceleration, 3), "spread_cues": cues, "hybrid": F.round(velocity * 0.3 + acceleration * 0.4 + F.lit(0.75) * 0.3, 3)}
+    return {"velocity": half_up(velocity, 3), "acceleration": half_up(acceleration, 3), "spread_cues": cues, "hybrid": half_up(velocity * 0.3 + acceleration * 0.4 + F.lit(0.75) * 0.3, 3)}
 
 
 def stage(text: Column) -> Column:
@@ -80,46 +85,62 @@ def neologisms(text: Column) -> Column:
     )
 
 
-def typology(text: Column, family: Column) -> dict[str, Column]:
-    """primary, score, is_memetic, n_types, scores (array<struct<s, p, id>>, best first)."""
+def typology_counts(text: Column) -> Column:
+    """Cues found of each rule, in the rules' order."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return F.array(*[count_of(padded, cues) for _, _, cues in X.TYPOLOGY])
+
+
+def typology_scores(counts: Column, family: Column) -> Column:
+    """array<struct<s, p, id>>, best first; counts stand in a column of their own."""
     prior = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in X.PRIOR.items() for x in kv]), family), F.lit(""))
     rows = []
-    for pos, (name, w, cues) in enumerate(X.TYPOLOGY):
-        m = count_of(padded, cues)
-        base = F.when(m > 0, F.round(w * F.least(F.lit(1.0), 0.35 + 0.2 * m), 3))
-        s = F.when(prior == name, F.round(F.coalesce(base, F.lit(0.0)) + 0.15, 3)).otherwise(base)
+    for pos, (name, w, _) in enumerate(X.TYPOLOGY):
+        m = counts[pos]
+        base = F.when(m > 0, half_up(w * F.least(F.lit(1.0), 0.35 + 0.2 * m), 3))
+        s = F.when(prior == name, half_up(F.coalesce(base, F.lit(0.0)) + 0.15, 3)).otherwise(base)
         # a key that only the prior makes comes last
         rows.append(F.when(s.isNotNull(), F.struct(s.alias("s"), F.when(base.isNull(), -100 - pos).otherwise(-pos).alias("p"), F.lit(name).alias("id"))))
-    scores = F.sort_array(F.filter(F.array(*rows), lambda x: x.isNotNull()), asc=False)
+    return F.sort_array(F.filter(F.array(*rows), lambda x: x.isNotNull()), asc=False)
+
+
+def typology_of(scores: Column) -> dict[str, Column]:
+    """typology, score and whether it is memetic, of scores that stand in a column of their own."""
     top = F.try_element_at(scores, F.lit(1))
     memetic = F.coalesce((top["s"] >= 0.45) | (F.size(scores) >= 2), F.lit(False))
     return {
-        "scores": scores, "primary": F.coalesce(top["id"], F.lit("one_off")), "is_memetic": memetic,
-        "score": F.when(memetic, F.round(F.least(F.lit(0.95), 0.4 + top["s"] * 0.5), 2)).otherwise(0.31),
+        "typology": F.coalesce(top["id"], F.lit("one_off")), "is_memetic": memetic, "n_types": F.size(scores),
+        "memetic_score": F.when(memetic, half_up(F.least(F.lit(0.95), 0.4 + top["s"] * 0.5), 2)).otherwise(0.31),
     }
 
 
-def sense(text: Column, family: Column, primary: Column) -> dict[str, Column]:
-    low = F.lower(text)
-    name, community, drivers = F.lit("general"), F.lit("general"), F.array(F.lit("communicative_need"))
-    for keys, s, c, d in reversed(X.SENSES):
-        hit = has_any(low, keys)
-        name, community = F.when(hit, s).otherwise(name), F.when(hit, c).otherwise(community)
-        drivers = F.when(hit, F.array(*map(F.lit, d))).otherwise(drivers)
+def sense_place(text: Column) -> Column:
+    """Which branch of the cascade a text falls in, from 1; none: one more than there are."""
+    low, out = F.lower(text), F.lit(len(X.SENSES) + 1)
+    for i, (keys, _, _, _) in reversed(list(enumerate(X.SENSES, 1))):
+        out = F.when(has_any(low, keys), i).otherwise(out)
+    return out
+
+
+def sense(place: Column, family: Column, primary: Column) -> dict[str, Column]:
+    pick = lambda *values: F.element_at(F.array(*values), place)
     soft = F.array(
         F.when(family.isNotNull(), "community_identity"), F.when(primary == "platform_agency", "platform_compression"),
         F.when(primary == "risk_identity", "risk_signaling"), F.when(primary.isin("status_radiation", "irony_inversion"), "status_competition"),
     )
-    return {"sense": name, "community": community, "drivers": F.array_distinct(F.concat(drivers, F.filter(soft, lambda x: x.isNotNull())))}
+    drivers = pick(*[F.array(*map(F.lit, d)) for _, _, _, d in X.SENSES], F.array(F.lit("communicative_need")))
+    return {
+        "sense": pick(*[F.lit(s) for _, s, _, _ in X.SENSES], F.lit("general")), "community": pick(*[F.lit(c) for _, _, c, _ in X.SENSES], F.lit("general")),
+        "drivers": F.array_distinct(F.concat(drivers, F.filter(soft, lambda x: x.isNotNull()))),
+    }
 
 
 def predict(hybrid: Column, velocity: Column, acceleration: Column, lineage: Column, memetic: Column, stage_: Column, n: Column) -> dict[str, Column]:
     lc, act = F.coalesce(lineage, F.lit(0.0)), stage_ == "ACTUALIZING"
     raw = hybrid * 0.50 + velocity * 0.12 + acceleration * 0.18 + F.least(F.lit(1.0), lc) * 0.10 + F.least(F.lit(1.0), F.coalesce(memetic, F.lit(0.0))) * 0.05 + F.when(act, 0.12).when(stage_ == "EMERGENT", 0.04).otherwise(0.0) + F.least(F.lit(0.1), 0.03 * n)
-    predicted = F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)
-    conf = F.round(F.least(F.lit(0.75), 0.35 + F.when(lc >= X.THRESHOLD, 0.15).otherwise(0.0) + F.when(act, 0.1).otherwise(0.0) + 0.05 * F.least(F.lit(3), n)), 3)
-    return {"predicted": predicted, "predicted_confidence": conf, "delta": F.round(predicted - hybrid, 3)}
+    predicted = half_up(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)
+    conf = half_up(F.least(F.lit(0.75), 0.35 + F.when(lc >= X.THRESHOLD, 0.15).otherwise(0.0) + F.when(act, 0.1).otherwise(0.0) + 0.05 * F.least(F.lit(3), n)), 3)
+    return {"predicted": predicted, "predicted_confidence": conf, "delta": half_up(predicted - hybrid, 3)}
 
 
 def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, memetic: Column, peak: Column | None = None, reach: Column | None = None, rate: Column | None = None, cascade: Column | None = None) -> dict[str, Column]:
@@ -133,7 +154,7 @@ def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, mem
     rows += [(w, F.when(c.isNotNull(), unit(c))) for w, c in ((0.12, peak), (0.08, reach), (0.08, rate)) if c is not None]
     rows += [(0.10, F.when(cascade, 1.0).when(~cascade, 0.15))] if cascade is not None else []
     total = sum((F.when(v.isNotNull(), w).otherwise(0.0) for w, v in rows), F.lit(0.0))
-    score = F.round(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
+    score = half_up(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
     return {"risk": score, "tier": F.when(score >= 0.75, "CRITICAL").when(score >= 0.55, "ELEVATED").when(score >= 0.35, "MODERATE").otherwise("LOW")}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexwave.functions.text import AFTER, BEFORE
+from lexwave.functions.text import AFTER, BEFORE, half_up
 from lexwave.sources import lexicon as X
 
 FAMILY_TERMS = "family_pos int, family_id string, branch_operator string, term_pos int, term string, weight double, n_terms int"
@@ -23,7 +23,7 @@ def hits(rows: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame
     single, phrase = F.col("term").rlike("^[a-z0-9]+$"), F.col("term").contains(" ")
     token = F.explode(F.array_distinct(F.split("corpus", r"[^\p{L}\p{N}_]+")))
     by_word = low.select(key, F.length("corpus").alias("chars"), token.alias("term")).join(F.broadcast(terms.filter(single)), "term")
-    whole = F.col("corpus").rlike(F.concat(F.lit(BEFORE), F.col("term"), F.lit(AFTER)))
+    whole = F.regexp_like("corpus", F.concat(F.lit(BEFORE), F.col("term"), F.lit(AFTER)))
     near = low.join(F.broadcast(terms.filter(~single)), F.col("corpus").contains(F.col("term")) & (phrase | whole))
     cols = [key, "chars", "family_pos", "family_id", "branch_operator", "term_pos", "term", "weight", "n_terms"]
     return by_word.select(*cols).unionByName(near.withColumn("chars", F.length("corpus")).select(*cols))
@@ -34,7 +34,7 @@ def confidence(n: Column, specificity: Column, n_terms: Column, chars: Column) -
     bonus = F.when(n == 1, 0.12).when(n == 2, 0.22).when(n == 3, 0.30).when(n == 4, 0.36).otherwise(0.38)
     density = F.when(n >= 2, F.least(F.lit(0.18), 0.06 * (n - 1) * (0.5 + 0.5 * F.greatest(F.lit(0.0), 1.0 - chars / 600.0)))).otherwise(0.0)
     raw = 0.18 + 0.38 * specificity + 0.22 * coverage + bonus + density
-    return {"coverage": coverage, "hit_bonus": bonus, "density": density, "raw_score": raw, "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)}
+    return {"coverage": coverage, "hit_bonus": bonus, "density": density, "raw_score": raw, "confidence": half_up(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)}
 
 
 def candidates(rows: DataFrame, key: str, text: Column, terms: DataFrame, boosts: DataFrame | None = None, min_confidence: float = X.THRESHOLD) -> DataFrame:
@@ -48,7 +48,7 @@ def candidates(rows: DataFrame, key: str, text: Column, terms: DataFrame, boosts
         out = out.join(F.broadcast(boosts), "family_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     else:
         out = out.withColumn("boost", F.lit(0.0))
-    out = out.withColumn("hybrid", F.round(F.least(F.lit(0.98), F.col("confidence") + F.col("boost")), 3))
+    out = out.withColumn("hybrid", half_up(F.least(F.lit(0.98), F.col("confidence") + F.col("boost")), 3))
     return out.filter(F.col("hybrid") >= min_confidence)
 
 

@@ -21,9 +21,9 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(found, "signal_id", "left")
     text = F.col("observed")
     rows = rows.withColumns(T.virality(text)).withColumn("stage", T.stage(text)).withColumn("neologisms", T.neologisms(text)).withColumn("n_neologisms", F.size("neologisms"))
-    kinds = T.typology(text, F.col("family"))
-    rows = rows.withColumns({"typology": kinds["primary"], "memetic_score": kinds["score"], "is_memetic": kinds["is_memetic"], "n_types": F.size(kinds["scores"]), "type_scores": kinds["scores"]})
-    rows = rows.withColumns(T.sense(text, F.col("family"), F.col("typology")))
+    rows = rows.withColumns({"counts": T.typology_counts(text), "place": T.sense_place(text)})
+    rows = rows.withColumn("type_scores", T.typology_scores(F.col("counts"), F.col("family"))).withColumns(T.typology_of(F.col("type_scores")))
+    rows = rows.withColumns(T.sense(F.col("place"), F.col("family"), F.col("typology")))
     rows = rows.withColumns(T.predict(F.col("hybrid"), F.col("velocity"), F.col("acceleration"), F.col("lineage_confidence"), F.col("memetic_score"), F.col("stage"), F.col("n_neologisms")))
     rows = rows.withColumns(T.risk(F.col("stage"), F.col("hybrid"), F.col("predicted"), F.col("lineage_confidence"), F.col("memetic_score")))
     content = F.sha2(F.col("raw"), 256)

@@ -161,7 +161,7 @@ def scan_aggregate(spark, sf_dir):
 @query
 def market_signal(spark, sf_dir):
     act = F.col("stage") == "ACTUALIZING"
-    return analysed(spark, sf_dir).select("signal_id", F.round(0.7 * F.col("hybrid") + F.when(act, 0.25).otherwise(0.05), 3).alias("confidence"), F.when(act & (F.col("hybrid") >= 0.6), "ESCALATE").when(act | (F.col("hybrid") >= 0.55), "MONITOR").otherwise("IGNORE").alias("actionable"))
+    return analysed(spark, sf_dir).select("signal_id", T.half_up(0.7 * F.col("hybrid") + F.when(act, 0.25).otherwise(0.05), 3).alias("confidence"), F.when(act & (F.col("hybrid") >= 0.6), "ESCALATE").when(act | (F.col("hybrid") >= 0.55), "MONITOR").otherwise("IGNORE").alias("actionable"))
 
 
 @query
@@ -193,7 +193,7 @@ def ledger_stats(spark, sf_dir):
 
 @query
 def lineage_distribution(spark, sf_dir):
-    return analysed(spark, sf_dir).groupBy(F.coalesce("family", F.lit("(none)")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lineage_confidence"), 3).alias("mean_confidence"))
+    return analysed(spark, sf_dir).groupBy(F.coalesce("family", F.lit("(none)")).alias("family")).agg(F.count(F.lit(1)).alias("n"), T.half_up(F.avg("lineage_confidence"), 3).alias("mean_confidence"))
 
 
 @query

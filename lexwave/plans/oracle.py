@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lexwave.sources import lexicon as X
 
 S = X.sql_str
@@ -24,14 +26,15 @@ def _clean(col: str) -> str:
 
 _MOCK = "CASE " + " ".join(f"WHEN {any_of('lower(query)', k)} THEN {S(a)} || query || {S(b)}" for k, a, b in X.MOCK) + f" ELSE {S(X.MOCK_REST[0])} || query || {S(X.MOCK_REST[1])} END"
 _N = len(X.terms())
-_HIT = r"contains(low, term) AND (contains(term, ' ') OR regexp_matches(low, '(^|[^\p{L}\p{N}_])' || term || '($|[^\p{L}\p{N}_])'))"
 
 
-def lineage_ctes(source: str, key: str) -> str:
+def lineage_ctes(source: str, key: str, tag: str = "") -> str:
     """cand and best over source(key, low)."""
-    return f"""
+    out = f"""
 fam AS (SELECT * FROM {X.sql_values(X.family_rows(), 'family_pos, family_id, branch_operator, term_pos, term, weight, n_terms')}),
-hit AS (SELECT {key}, length(low) AS chars, fam.* FROM {source} JOIN fam ON {_HIT}),
+tok AS MATERIALIZED (SELECT DISTINCT {key}, length(low) AS chars, unnest(regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM {source}),
+hit AS (SELECT {key}, chars, fam.* FROM tok JOIN fam ON word = fam.term
+    UNION ALL SELECT {key}, length(low) AS chars, fam.* FROM {source} JOIN fam ON contains(fam.term, ' ') AND contains(low, fam.term)),
 agg AS (SELECT {key}, chars, family_pos, family_id, branch_operator, n_terms, count(*) AS n_hits, avg(weight) AS specificity,
     string_agg(term, ',' ORDER BY term_pos) AS matched FROM hit GROUP BY ALL),
 raw1 AS (SELECT *, n_hits / n_terms AS coverage,
@@ -40,6 +43,9 @@ raw1 AS (SELECT *, n_hits / n_terms AS coverage,
 raw2 AS (SELECT *, 0.18::DOUBLE + 0.38::DOUBLE * specificity + 0.22::DOUBLE * coverage + hit_bonus + density AS raw_score FROM raw1),
 cand AS (SELECT *, round(greatest(0.0::DOUBLE, least(0.98::DOUBLE, raw_score)), 3) AS confidence FROM raw2),
 best AS (SELECT * FROM cand WHERE confidence >= 0.42 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY confidence DESC, family_pos) = 1)"""
+    for name in ("fam", "tok", "hit", "agg", "raw1", "raw2", "cand", "best") if tag else ():
+        out = re.sub(rf"\b{name}\b(?!_)", name + tag, out)
+    return out
 
 
 _T = X.sql_list(X.terms())
@@ -47,7 +53,7 @@ SIGNALS = f"""
 WITH sig0 AS (SELECT event_id AS signal_id, user_id, event_type, ts,
     CASE WHEN user_id % 3 = 0 THEN ({_T})[event_id % {_N} + 1] || ' ' || ({_T})[(event_id * 7 + user_id) % {_N} + 1] ELSE ({_T})[event_id % {_N} + 1] END AS query FROM events),
 sig1 AS (SELECT *, {_MOCK} AS raw FROM sig0),
-sig AS (SELECT *, {_clean('raw')} AS observed, lower({_clean('raw')}) AS low FROM sig1)"""
+sig AS MATERIALIZED (SELECT *, {_clean('raw')} AS observed, lower({_clean('raw')}) AS low FROM sig1)"""
 
 _WORDS = "CASE WHEN trim(observed) = '' THEN 0 ELSE len(string_split(trim(observed), ' ')) END"
 _B = r"(^|[^a-z0-9_])"
@@ -74,7 +80,7 @@ neo AS (SELECT sig.signal_id, list_sort(phr.l) AS phrases,
     FROM sig JOIN phr USING (signal_id))"""
 
 ANALYSIS = f"""{SIGNALS},{lineage_ctes('sig', 'signal_id')},{_NEO},
-joined AS (SELECT sig.*, best.family_id AS family, best.confidence AS lineage_confidence, best.matched,
+joined AS MATERIALIZED (SELECT sig.*, best.family_id AS family, best.confidence AS lineage_confidence, best.matched,
     least(1.0::DOUBLE, {_WORDS} / 40.0::DOUBLE) AS vel,
     least(1.0::DOUBLE, CASE WHEN contains(low, 'velocity') OR contains(low, 'narrative') THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END + 0.08::DOUBLE * {count_of('low', X.SPREAD)}) AS acc,
     {count_of('low', X.SPREAD)} AS spread_cues, CASE WHEN contains(low, 'revenge') OR contains(low, 'sharp') THEN 'ACTUALIZING' ELSE 'EMERGENT' END AS stage,
@@ -93,7 +99,7 @@ pred AS (SELECT *, round(greatest(0.0::DOUBLE, least(0.98::DOUBLE, hybrid * 0.5:
     round(least(0.75::DOUBLE, 0.35::DOUBLE + CASE WHEN coalesce(lineage_confidence, 0) >= 0.42 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN stage = 'ACTUALIZING' THEN 0.1::DOUBLE ELSE 0 END + 0.05::DOUBLE * least(3, n_neologisms)), 3) AS predicted_confidence FROM scored),
 risked AS (SELECT *, round(predicted - hybrid, 3) AS delta,
     round(least(0.98::DOUBLE, (0.28::DOUBLE * CASE stage WHEN 'ACTUALIZING' THEN 0.85 ELSE 0.45 END::DOUBLE + 0.14::DOUBLE * hybrid + 0.12::DOUBLE * predicted + 0.1::DOUBLE * coalesce(lineage_confidence, 0.0) + 0.08::DOUBLE * memetic_score) / 0.72::DOUBLE), 3) AS risk FROM pred),
-ana AS (SELECT *, CASE WHEN risk >= 0.75 THEN 'CRITICAL' WHEN risk >= 0.55 THEN 'ELEVATED' WHEN risk >= 0.35 THEN 'MODERATE' ELSE 'LOW' END AS tier,
+ana AS MATERIALIZED (SELECT *, CASE WHEN risk >= 0.75 THEN 'CRITICAL' WHEN risk >= 0.55 THEN 'ELEVATED' WHEN risk >= 0.35 THEN 'MODERATE' ELSE 'LOW' END AS tier,
     substr(sha256('mock|' || lower(trim(query)) || '|' || sha256(raw) || '||ingest-v1.7'), 1, 24) AS fingerprint_id FROM risked)
 """
 
@@ -164,13 +170,8 @@ SQL: dict[str, str] = {
     "receipt_timeline": f"{ANALYSIS} SELECT user_id, signal_id, family, lead(signal_id) OVER w AS next_signal, lead(family) OVER w IS DISTINCT FROM family AS changed FROM ana WINDOW w AS (PARTITION BY user_id ORDER BY signal_id)",
     "family_terms_top": f"""{ANALYSIS}, t AS (SELECT family, unnest(string_split(matched, ',')) AS term FROM ana WHERE family IS NOT NULL), c AS (SELECT family, term, count(*) AS n FROM t GROUP BY ALL)
         SELECT family, term, n FROM c QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, term) <= 8""",
-    "backprop_changes": f"""{SIGNALS}, part1 AS (SELECT signal_id, lower(query) AS low FROM sig),{lineage_ctes('part1', 'signal_id')},
-        fam2 AS (SELECT signal_id, length(sig.low) AS chars, sig.low AS low FROM sig), hit2 AS (SELECT signal_id, chars, fam.* FROM fam2 JOIN fam ON {_HIT.replace('low', 'fam2.low')}),
-        agg2 AS (SELECT signal_id, chars, family_pos, family_id, n_terms, count(*) AS n, avg(weight) AS sp FROM hit2 GROUP BY ALL),
-        c2 AS (SELECT signal_id, family_pos, family_id, round(greatest(0.0::DOUBLE, least(0.98::DOUBLE, 0.18::DOUBLE + 0.38::DOUBLE * sp + 0.22::DOUBLE * (n / n_terms) + CASE n WHEN 1 THEN 0.12 WHEN 2 THEN 0.22 WHEN 3 THEN 0.30 WHEN 4 THEN 0.36 ELSE 0.38 END::DOUBLE
-            + CASE WHEN n >= 2 THEN least(0.18::DOUBLE, 0.06::DOUBLE * (n - 1) * (0.5::DOUBLE + 0.5::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - chars / 600.0::DOUBLE))) ELSE 0.0::DOUBLE END)), 3) AS confidence FROM agg2),
-        b2 AS (SELECT * FROM c2 WHERE confidence >= 0.42 QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY confidence DESC, family_pos) = 1),
-        j AS (SELECT sig.signal_id, p.family_id AS f1, p.confidence AS c1, n.family_id AS f2, n.confidence AS c2 FROM sig LEFT JOIN best p USING (signal_id) LEFT JOIN b2 n USING (signal_id))
+    "backprop_changes": f"""{SIGNALS}, part1 AS (SELECT signal_id, lower(query) AS low FROM sig),{lineage_ctes('part1', 'signal_id')},{lineage_ctes('sig', 'signal_id', '2')},
+        j AS (SELECT sig.signal_id, p.family_id AS f1, p.confidence AS c1, n.family_id AS f2, n.confidence AS c2 FROM sig LEFT JOIN best p USING (signal_id) LEFT JOIN best2 n USING (signal_id))
         SELECT CASE WHEN f1 IS NULL AND f2 IS NULL THEN 'unchanged' WHEN f1 IS NULL THEN 'gained' WHEN f2 IS NULL THEN 'lost' WHEN f1 <> f2 THEN 'reclassified' WHEN abs(c1 - c2) >= 0.02 THEN 'confidence_shift' ELSE 'unchanged' END AS change, count(*) AS n FROM j GROUP BY 1""",
     "settled_pairs": f"{PAIRS} SELECT forecast_id, signal_key, probability, outcome, CASE WHEN d = 'VOID' THEN 'NOT_COMPUTABLE' ELSE 'SCORED' END AS status, round(atomic, 6) AS atomic FROM pairs",
     "pending_forecasts": f"{PAIRS} SELECT forecast_id, signal_key, probability FROM f ANTI JOIN s USING (forecast_id)",
@@ -201,9 +202,27 @@ SQL: dict[str, str] = {
     "phylogeny_edges": f"WITH f AS (SELECT * FROM {X.sql_values(X.family_rows(), 'family_pos, family_id, branch_operator, term_pos, term, weight, n_terms')}) SELECT family_id, CASE WHEN term_pos < greatest(1, n_terms // 2) THEN family_id || ':trunk' ELSE family_id || ':root' END AS parent, family_id || ':' || term AS child FROM f",
     "registry_merge": f"""WITH f AS (SELECT * FROM {X.sql_values(X.family_rows(), 'family_pos, family_id, branch_operator, term_pos, term, weight, n_terms')}), p AS (SELECT DISTINCT 'part-brand' AS family_id, lower(p_brand) AS term FROM part UNION SELECT family_id, upper(term) FROM f WHERE term_pos = 0),
         u AS (SELECT family_id, lower(term) AS term FROM f UNION SELECT family_id, lower(term) FROM p) SELECT family_id, count(*) AS n_terms, count(*) - count(*) FILTER (WHERE (family_id, term) IN (SELECT (family_id, lower(term)) FROM f)) AS added FROM u GROUP BY 1""",
-    "per_term_lineage": f"""{SIGNALS}, one AS (SELECT DISTINCT term, lower(term || ' ' || term) AS low FROM (SELECT unnest({_T}) AS term)),{lineage_ctes('one', 'term').replace('fam.* FROM', 'family_pos, family_id, branch_operator, term_pos, fam.term AS lex, weight, n_terms FROM').replace('SELECT term, length', 'SELECT one.term, length').replace(_HIT, _HIT.replace('term', 'fam.term')).replace("string_agg(term", "string_agg(lex")}
-        SELECT term, family_id, n_hits, confidence FROM best""",
+    "per_term_lineage": f"""{SIGNALS}, one AS (SELECT DISTINCT k, lower(k || ' ' || k) AS low FROM (SELECT unnest({_T}) AS k)),{lineage_ctes('one', 'k')} SELECT k AS term, family_id, n_hits, confidence FROM best""",
     "stream_log_lww": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "stream_scan_windows": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "term_split": f"{SIGNALS} SELECT signal_id, array_to_string(list_filter(regexp_extract_all(lower(query), '(' || {S('|'.join(t.replace('.', chr(92) + '.') for t in sorted(X.terms(), key=lambda t: (-len(t), t))))} || '|[^ ]+)(?: |$)', 1), lambda x: list_contains({_T}, x)), '|') AS matched FROM sig",
 }
+
+
+def _half_up(sql: str) -> str:
+    """round(x, 2 or 3) of a score rounds halves up: with the same nudge as the other side."""
+    out, at = [], 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j, comma = 1, i + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            comma = j if sql[j] == "," and depth == 1 else comma
+            j += 1
+        inner = _half_up(sql[i + 6 : comma])
+        places = sql[comma + 1 : j - 1].strip()
+        out += [sql[at:i], f"round({inner} + 1e-9::DOUBLE, {places})" if places in "23" else f"round({inner}, {places})"]
+        at = j
+    return "".join(out) + sql[at:]
+
+
+SQL = {k: _half_up(v) for k, v in SQL.items()}
