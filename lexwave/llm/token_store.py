@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import new_path, partitions, table
 from .words import BLOCK as TEXT_BLOCK
-from .words import blocks, utf8
+from .words import blocks, release, utf8
 
 BLOCK, CHUNK, END, LEVEL = 1 << 16, 1 << 18, 2, 1
-_CACHE_PIECES = 450_000
+_CACHE_PIECES = 350_000
 #: Put before a piece that no blank stands before, and a line feed on its own.
 MARK = "\x01"
 FEED = MARK + "\n"
@@ -219,6 +219,7 @@ def _write(path: str):
                     lo = hi
                     if held >= CHUNK:
                         yield flush()
+                release()
         if docs:
             yield flush()
 

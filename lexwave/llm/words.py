@@ -6,6 +6,7 @@ UTF-8 bytes; no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,15 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives for many tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -146,3 +156,4 @@ def each(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int
     data, off = utf8(batch.column(column))
     for a, b in blocks(off):
         yield a, b, Words(data[off[a] : off[b]], off[a : b + 1])
+        release()
