@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
-    """path: a Parquet table; new files are new rows."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path)
+    """path: a Parquet table, one file or a folder of them; new files are new rows."""
+    schema, reader = spark.read.parquet(path).schema, spark.readStream.option("maxFilesPerTrigger", 64)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.schema(schema).parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return reader.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def _drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
