@@ -27,7 +27,7 @@ from .words import BLOCK as TEXT_BLOCK
 from .words import blocks, release, utf8
 
 BLOCK, CHUNK, END, LEVEL = 1 << 16, 1 << 18, 2, 1
-_CACHE_PIECES = 350_000
+_CACHE_PIECES = 220_000
 #: Put before a piece that no blank stands before, and a line feed on its own.
 MARK = "\x01"
 FEED = MARK + "\n"
