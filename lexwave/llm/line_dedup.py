@@ -43,12 +43,13 @@ def line_plan(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFram
     """All lines, and (h, n) of lines with their first place and whether a similar one stands earlier; only where something is to be removed."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
     lines = _lines(docs)
-    by = lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("s").alias("s"))
+    by = lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     distinct = saved(spark, by, "lines")
-    keyed = distinct.filter(F.col("n") >= MIN).select("h", "n", F.explode(_halves()).alias("key"))
+    keyed = lines.filter(F.col("n") >= MIN).select("h", "n", F.explode(_halves()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("h", "n")).alias("lo"), F.max(F.struct("h", "n")).alias("hi")).filter("lo <> hi").select("key")
     near = saved(spark, keyed.join(shared, "key", "left_semi").select("h", "n").distinct(), "near")
-    few = distinct.join(broadcast_if_small(near), ["h", "n"], "left_semi").select("h", "n", "s", "first")
+    # texts of lines are moved for these only
+    few = lines.join(broadcast_if_small(near), ["h", "n"], "left_semi").groupBy("h", "n").agg(F.first("s").alias("s"), F.min(place).alias("first"))
     cut = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.xxhash64(F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.col("n").cast("int")))))
     # a variant's key goes with how it came about: lines of length n meet lines of n, or n - 1 as they are
     keys = F.array_distinct(F.concat(F.array(F.col("h")), cut))
