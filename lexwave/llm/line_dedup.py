@@ -5,9 +5,10 @@ removed where an equal or a similar one stands earlier (by doc_id, then line). S
 character inserted, dropped or changed), for lines of MIN characters or more.
 
 Of two such lines, the halves on one side are equal: lines whose halves no other line has are set aside first, without
-loss. The others emit the hash of themselves and of each variant with one character deleted; equal keys are joined and
-the edit distance is verified. A key that many lines have is first cut into its lines by their own text, so that equal
-lines never multiply; similar lines are compared by their key's rows, which differ pairwise.
+loss. The others emit a hash of themselves and of each variant with one character deleted (rolling sums, so a long line
+costs its length, not the square). Keys of one line only are dropped, and what is left is joined without making pairs:
+lines of one length that share a variant at one position differ there only, so each is linked to the earliest of them;
+a variant that is a line itself links that line and its longer ones, a star. Links are verified by their texts.
 
 Null texts and blank lines have nothing to remove; rows with a null doc_id come last. Repeated rows: a later line
 number decides, so equal doc_ids share one order. Extra columns are ignored. An empty table gives no rows.
@@ -15,12 +16,20 @@ number decides, so equal doc_ids share one order. Extra columns are ignored. An
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, saved, table
+from .words import _pow, blocks, mix, release, utf8
 
 MIN, EDITS = 8, 1
+#: Bytes of lines whose variants are held at once; one longer line is handled alone.
+_HELD = 1 << 19
+_SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,29 +48,79 @@ def _halves(s: str = "s", n: str = "n") -> F.Column:
     return F.array_distinct(F.array(*keys))
 
 
+def variant_keys(points: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines (code points, first place and length of each), and of them without each of their characters."""
+    up, down = _pow(len(points) + 2)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix((points.astype(np.uint64) + np.uint64(1)) * seed) * up[: len(points)], out=total[1:])
+    whole = (total[start + size] - total[start]) * down[start] + size.astype(np.uint64)
+    s, n = np.repeat(start, size), np.repeat(size, size)
+    cut = (total[:-1] - total[s]) * down[s] + (total[s + n] - total[1:]) * down[s + 1] + (n - 1).astype(np.uint64)
+    return mix(whole), mix(cut)
+
+
+def _variants(places: bool):
+    """Of lines (h, n, s): each one's distinct keys, or its keys with the place of the character left out (-1: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("s")
+            for a, b in blocks(utf8(text)[1], _HELD):
+                lines = text.slice(a, b - a).to_pylist()
+                points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+                size = np.fromiter(map(len, lines), np.int64, b - a)
+                start = np.cumsum(size) - size
+                whole, cut = variant_keys(points, start, size, _SEEDS[0])
+                if places:
+                    by = np.concatenate([np.arange(b - a), np.repeat(np.arange(b - a), size)])
+                    at = np.concatenate([np.full(b - a, -1), np.arange(len(points)) - np.repeat(start, size)])
+                    keys = np.concatenate([whole, cut]), np.concatenate(variant_keys(points, start, size, _SEEDS[1]))
+                    own = pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("h", "n")], names=["h", "n"]).take(pa.array(by))
+                    yield pa.RecordBatch.from_arrays([own.column("h"), own.column("n"), pa.array(at.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys)], names=["h", "n", "at", "key", "key2"])
+                else:  # in a run of one character, leaving out any gives the same
+                    new = np.ones(len(points), bool)
+                    new[1:] = points[1:] != points[:-1]
+                    new[start] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([whole, cut[new]]).view(np.int64))], names=["key"])
+                release()
+
+    return run
+
+
+def _similar(spark: SparkSession, few: DataFrame) -> DataFrame:
+    """(h, n) of lines of few (h, n, s, first; distinct) that have a similar one earlier."""
+    text = few.select("h", "n", "s")
+    many = saved(spark, text.mapInArrow(_variants(False), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "keys")
+    met = text.mapInArrow(_variants(True), "h long, n int, at int, key long, key2 long").join(broadcast_if_small(many), "key", "left_semi")
+    met = saved(spark, met.join(few.select("h", "n", "first"), ["h", "n"]), "met")
+    line = F.struct("first", "h", "n")
+    cut = met.filter("at >= 0")
+    # one character changed: all that share key and place are alike
+    least = cut.groupBy("key", "key2", "n", "at").agg(F.min(line).alias("lo"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    changed = cut.join(least, ["key", "key2", "n", "at"]).filter(F.col("h") != F.col("lo.h")).select("h", "n", F.col("lo.h").alias("ha"), F.col("lo.n").alias("na"))
+    # one character more: a star around the shorter line
+    whole = met.filter("at < 0").select("key", "key2", F.col("h").alias("hw"), F.col("n").alias("nw"), F.col("first").alias("fw"))
+    star = cut.join(whole, ["key", "key2"]).filter(F.col("nw") == F.col("n") - 1)
+    longer = star.filter(F.col("fw") < F.col("first")).select("h", "n", F.col("hw").alias("ha"), F.col("nw").alias("na"))
+    shorter = star.filter(F.col("first") < F.col("fw")).groupBy("hw", "nw").agg(F.min(line).alias("lo")).select(F.col("hw").alias("h"), F.col("nw").alias("n"), F.col("lo.h").alias("ha"), F.col("lo.n").alias("na"))
+    links = saved(spark, changed.unionByName(longer).unionByName(shorter).distinct(), "links")
+    earlier = text.select(F.col("h").alias("ha"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    return links.join(text, ["h", "n"]).join(earlier, ["ha", "na"]).filter(F.levenshtein("s", "sa", EDITS) >= 0).select("h", "n").distinct()
+
+
 def line_plan(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines, and (h, n) of lines with their first place and whether a similar one stands earlier; only where something is to be removed."""
+    """All lines, and (h, n, first, late) of lines of which something is to be removed: their first place, and whether a similar one stands earlier."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line")
     lines = _lines(docs)
-    by = lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
-    distinct = saved(spark, by, "lines")
+    repeated = saved(spark, lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "repeated")
     keyed = lines.filter(F.col("n") >= MIN).select("h", "n", F.explode(_halves()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("h", "n")).alias("lo"), F.max(F.struct("h", "n")).alias("hi")).filter("lo <> hi").select("key")
-    near = saved(spark, keyed.join(shared, "key", "left_semi").select("h", "n").distinct(), "near")
+    shared = saved(spark, keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "halves")
+    near = saved(spark, keyed.join(broadcast_if_small(shared), "key", "left_semi").select("h", "n").distinct(), "near")
     # texts of lines are moved for these only
-    few = lines.join(broadcast_if_small(near), ["h", "n"], "left_semi").groupBy("h", "n").agg(F.first("s").alias("s"), F.min(place).alias("first"))
-    cut = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.xxhash64(F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.col("n").cast("int")))))
-    # a variant's key goes with how it came about: lines of length n meet lines of n, or n - 1 as they are
-    keys = F.array_distinct(F.concat(F.array(F.col("h")), cut))
-    variants = saved(spark, few.select("h", "n", "s", "first", F.explode(keys).alias("key")), "variants")
-    many = variants.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    left = variants.join(many, "key", "left_semi")
-    a = left.select("key", F.col("h").alias("ha"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("first").alias("fa"))
-    b = left.select("key", F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("first").alias("fb"))
-    pairs = a.join(b, "key").filter((F.col("fa") < F.col("fb")) & (F.abs(F.col("na") - F.col("nb")) <= EDITS)).filter(F.levenshtein("sa", "sb", EDITS) >= 0)
-    later = saved(spark, pairs.groupBy(F.col("hb").alias("h"), F.col("nb").alias("n")).agg(F.min("fa").alias("similar")), "similar")
-    hit = distinct.join(broadcast_if_small(later), ["h", "n"], "left").filter((F.col("rows") > 1) | F.col("similar").isNotNull())
-    return lines, saved(spark, hit.select("h", "n", "first", F.col("similar").isNotNull().alias("late")), "hits")
+    few = saved(spark, lines.join(broadcast_if_small(near), ["h", "n"], "left_semi").groupBy("h", "n").agg(F.first("s").alias("s"), F.min(place).alias("first")), "few")
+    late = saved(spark, _similar(spark, few).withColumn("late", F.lit(True)), "similar")
+    hits = repeated.join(late, ["h", "n"], "full").withColumn("late", F.coalesce("late", F.lit(False)))
+    return lines, saved(spark, hits, "hits")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -69,7 +128,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
     lines, hits = line_plan(spark, own)
     here = (F.col("first.uid") == F.col("uid")) & (F.col("first.line") == F.col("line"))
-    gone = lines.select("uid", "doc_id", "line", "h", "n").join(broadcast_if_small(hits), ["h", "n"]).filter(F.col("late") | ~here)
+    gone = lines.select("uid", "line", "h", "n").join(broadcast_if_small(hits), ["h", "n"]).filter(F.col("late") | ~here)
     drop = saved(spark, gone.groupBy("uid").agg(F.collect_set("line").alias("drop")), "drop").withColumnRenamed("uid", "at")
     out = own.join(broadcast_if_small(drop), F.col("uid") == F.col("at"), "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
     parts = F.split("text", "\n")

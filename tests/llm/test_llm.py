@@ -94,6 +94,36 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.line_dedup(spark, none).count() == 0
 
 
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(7)
+    seeds = ["aabbaabbaa", "abababababab", "ääßß€€öö", "line with words", "aaaaaaaaaaaa"]
+
+    def edited(s):
+        i, c = rng.randrange(len(s)), rng.choice("ab€")
+        return rng.choice([s, s[:i] + s[i + 1 :], s[:i] + c + s[i + 1 :], s[:i] + c + s[i:]])
+
+    texts = ["\n".join(edited(edited(rng.choice(seeds))) for _ in range(rng.randrange(1, 5))) for _ in range(120)]
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        keep = []
+        for s in t.split("\n"):
+            x = s.strip(" ")
+            if not any(x == y or min(len(x), len(y)) >= line_dedup.MIN and near(x, y) for y in seen):
+                keep.append(s)
+            seen.append(x)
+        want[i] = "\n".join(keep)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, docs(spark, texts)).collect()}
+    assert got == want and len({*want.values()}) > 20
+
+
 def test_language_id(spark, odd, none):
     words = {"en": ["the", "of", "thing", "with"], "de": ["der", "schön", "nicht", "über"], "fr": ["le", "été", "que", "aux"]}
     rng = random.Random(1)
