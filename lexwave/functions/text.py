@@ -11,10 +11,19 @@ from lexwave.sources import lexicon as X
 
 
 def half_up(x: Column, places: int) -> Column:
-    """Rounds halves up; the nudge keeps a half that is stored a little below itself from being rounded down."""
+    """Rounds halves up; for averages, whose last bits depend on the order of the rows: the nudge hides them."""
     return F.round(x + 1e-9, places)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounds the stored binary value, not its decimal print: 0.6395 is stored below that half and goes down; true halves go
+    to the even side. n is the nearest half unit, rest the exact way from there to x (both products fit 53 bits)."""
+    x, unit = x.cast("double"), 2.0 * 10**places
+    high, n = x.cast("float").cast("double"), F.rint(x * unit)
+    rest = (high * unit - n) + (x - high) * unit
+    return F.rint(n / 2 + F.signum(rest) / 4) / 10.0**places + 0.0
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -53,7 +62,7 @@ def virality(text: Column) -> dict[str, Column]:
     velocity = F.least(F.lit(1.0), words(text) / F.lit(40.0))
     cues = count_of(low, X.SPREAD)
     acceleration = F.least(F.lit(1.0), F.when(has_any(low, ["velocity", "narrative"]), 0.6).otherwise(0.3) + 0.08 * cues)
-    return {"velocity": half_up(velocity, 3), "acceleration": half_up(acceleration, 3), "spread_cues": cues, "hybrid": half_up(velocity * 0.3 + acceleration * 0.4 + F.lit(0.75) * 0.3, 3)}
+    return {"velocity": rounded(velocity, 3), "acceleration": rounded(acceleration, 3), "spread_cues": cues, "hybrid": rounded(velocity * 0.3 + acceleration * 0.4 + F.lit(0.75) * 0.3, 3)}
 
 
 def stage(text: Column) -> Column:
@@ -97,8 +106,8 @@ def typology_scores(counts: Column, family: Column) -> Column:
     rows = []
     for pos, (name, w, _) in enumerate(X.TYPOLOGY):
         m = counts[pos]
-        base = F.when(m > 0, half_up(w * F.least(F.lit(1.0), 0.35 + 0.2 * m), 3))
-        s = F.when(prior == name, half_up(F.coalesce(base, F.lit(0.0)) + 0.15, 3)).otherwise(base)
+        base = F.when(m > 0, rounded(w * F.least(F.lit(1.0), 0.35 + 0.2 * m), 3))
+        s = F.when(prior == name, rounded(F.coalesce(base, F.lit(0.0)) + 0.15, 3)).otherwise(base)
         # a key that only the prior makes comes last
         rows.append(F.when(s.isNotNull(), F.struct(s.alias("s"), F.when(base.isNull(), -100 - pos).otherwise(-pos).alias("p"), F.lit(name).alias("id"))))
     return F.sort_array(F.filter(F.array(*rows), lambda x: x.isNotNull()), asc=False)
@@ -110,7 +119,7 @@ def typology_of(scores: Column) -> dict[str, Column]:
     memetic = F.coalesce((top["s"] >= 0.45) | (F.size(scores) >= 2), F.lit(False))
     return {
         "typology": F.coalesce(top["id"], F.lit("one_off")), "is_memetic": memetic, "n_types": F.size(scores),
-        "memetic_score": F.when(memetic, half_up(F.least(F.lit(0.95), 0.4 + top["s"] * 0.5), 2)).otherwise(0.31),
+        "memetic_score": F.when(memetic, rounded(F.least(F.lit(0.95), 0.4 + top["s"] * 0.5), 2)).otherwise(0.31),
     }
 
 
@@ -138,9 +147,9 @@ def sense(place: Column, family: Column, primary: Column) -> dict[str, Column]:
 def predict(hybrid: Column, velocity: Column, acceleration: Column, lineage: Column, memetic: Column, stage_: Column, n: Column) -> dict[str, Column]:
     lc, act = F.coalesce(lineage, F.lit(0.0)), stage_ == "ACTUALIZING"
     raw = hybrid * 0.50 + velocity * 0.12 + acceleration * 0.18 + F.least(F.lit(1.0), lc) * 0.10 + F.least(F.lit(1.0), F.coalesce(memetic, F.lit(0.0))) * 0.05 + F.when(act, 0.12).when(stage_ == "EMERGENT", 0.04).otherwise(0.0) + F.least(F.lit(0.1), 0.03 * n)
-    predicted = half_up(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)
-    conf = half_up(F.least(F.lit(0.75), 0.35 + F.when(lc >= X.THRESHOLD, 0.15).otherwise(0.0) + F.when(act, 0.1).otherwise(0.0) + 0.05 * F.least(F.lit(3), n)), 3)
-    return {"predicted": predicted, "predicted_confidence": conf, "delta": half_up(predicted - hybrid, 3)}
+    predicted = rounded(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3)
+    conf = rounded(F.least(F.lit(0.75), 0.35 + F.when(lc >= X.THRESHOLD, 0.15).otherwise(0.0) + F.when(act, 0.1).otherwise(0.0) + 0.05 * F.least(F.lit(3), n)), 3)
+    return {"predicted": predicted, "predicted_confidence": conf, "delta": rounded(predicted - hybrid, 3)}
 
 
 def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, memetic: Column, peak: Column | None = None, reach: Column | None = None, rate: Column | None = None, cascade: Column | None = None) -> dict[str, Column]:
@@ -154,7 +163,7 @@ def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, mem
     rows += [(w, F.when(c.isNotNull(), unit(c))) for w, c in ((0.12, peak), (0.08, reach), (0.08, rate)) if c is not None]
     rows += [(0.10, F.when(cascade, 1.0).when(~cascade, 0.15))] if cascade is not None else []
     total = sum((F.when(v.isNotNull(), w).otherwise(0.0) for w, v in rows), F.lit(0.0))
-    score = half_up(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
+    score = rounded(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
     return {"risk": score, "tier": F.when(score >= 0.75, "CRITICAL").when(score >= 0.55, "ELEVATED").when(score >= 0.35, "MODERATE").otherwise("LOW")}
 
 

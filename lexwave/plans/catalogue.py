@@ -161,7 +161,7 @@ def scan_aggregate(spark, sf_dir):
 @query
 def market_signal(spark, sf_dir):
     act = F.col("stage") == "ACTUALIZING"
-    return analysed(spark, sf_dir).select("signal_id", T.half_up(0.7 * F.col("hybrid") + F.when(act, 0.25).otherwise(0.05), 3).alias("confidence"), F.when(act & (F.col("hybrid") >= 0.6), "ESCALATE").when(act | (F.col("hybrid") >= 0.55), "MONITOR").otherwise("IGNORE").alias("actionable"))
+    return analysed(spark, sf_dir).select("signal_id", T.rounded(0.7 * F.col("hybrid") + F.when(act, 0.25).otherwise(0.05), 3).alias("confidence"), F.when(act & (F.col("hybrid") >= 0.6), "ESCALATE").when(act | (F.col("hybrid") >= 0.55), "MONITOR").otherwise("IGNORE").alias("actionable"))
 
 
 @query
@@ -426,7 +426,7 @@ def transmission(spark, sf_dir):
 
 @query
 def transmission_grid(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).filter("status = 'SCORED' AND forecast_id < 200").select(F.col("forecast_id").alias("run_id"), F.col("probability").alias("hybrid"), "outcome")
+    rows = _pairs(spark, sf_dir).filter("status = 'SCORED'").select(F.col("forecast_id").alias("run_id"), F.col("probability").alias("hybrid"), "outcome")
     return M.grid_search(rows, [0.15, 0.25, 0.35, 0.45, 0.55, 0.65], [0.04, 0.08, 0.12, 0.16])
 
 

@@ -64,10 +64,10 @@ def _typology() -> tuple[str, str]:
     rows = []
     for pos, (name, w, cues) in enumerate(X.TYPOLOGY):
         m = count_of("(' ' || low || ' ')", cues)
-        base = f"CASE WHEN {m} > 0 THEN round({w}::DOUBLE * least(1.0::DOUBLE, 0.35::DOUBLE + 0.2::DOUBLE * {m}), 3) END"
+        base = f"CASE WHEN {m} > 0 THEN stored_round({w}::DOUBLE * least(1.0::DOUBLE, 0.35::DOUBLE + 0.2::DOUBLE * {m}), 3) END"
         fams = [f for f, t in X.PRIOR.items() if t == name]
         prior = f"coalesce(family IN ({', '.join(map(S, fams))}), false)" if fams else "false"
-        rows.append(f"SELECT signal_id, {S(name)} AS id, CASE WHEN {base} IS NULL THEN {-100 - pos} ELSE {-pos} END AS p, CASE WHEN {prior} THEN round(coalesce({base}, 0.0) + 0.15::DOUBLE, 3) ELSE {base} END AS s FROM joined")
+        rows.append(f"SELECT signal_id, {S(name)} AS id, CASE WHEN {base} IS NULL THEN {-100 - pos} ELSE {-pos} END AS p, CASE WHEN {prior} THEN stored_round(coalesce({base}, 0.0) + 0.15::DOUBLE, 3) ELSE {base} END AS s FROM joined")
     return " UNION ALL ".join(rows), ""
 
 
@@ -88,17 +88,17 @@ joined AS MATERIALIZED (SELECT sig.*, best.family_id AS family, best.confidence
     FROM sig LEFT JOIN best USING (signal_id) JOIN neo USING (signal_id)),
 types AS ({_typology()[0]}),
 top AS (SELECT signal_id, arg_max(id, (s, p)) AS typology, max(s) AS top_s, count(*) AS n_types FROM types WHERE s IS NOT NULL GROUP BY signal_id),
-scored AS (SELECT joined.*, round(vel, 3) AS velocity, round(acc, 3) AS acceleration, round(vel * 0.3::DOUBLE + acc * 0.4::DOUBLE + 0.75::DOUBLE * 0.3::DOUBLE, 3) AS hybrid,
+scored AS (SELECT joined.*, stored_round(vel, 3) AS velocity, stored_round(acc, 3) AS acceleration, stored_round(vel * 0.3::DOUBLE + acc * 0.4::DOUBLE + 0.75::DOUBLE * 0.3::DOUBLE, 3) AS hybrid,
     coalesce(typology, 'one_off') AS typology, coalesce(n_types, 0) AS n_types, coalesce(top_s >= 0.45 OR n_types >= 2, false) AS is_memetic,
-    CASE WHEN coalesce(top_s >= 0.45 OR n_types >= 2, false) THEN round(least(0.95::DOUBLE, 0.4::DOUBLE + top_s * 0.5::DOUBLE), 2) ELSE 0.31 END::DOUBLE AS memetic_score,
+    CASE WHEN coalesce(top_s >= 0.45 OR n_types >= 2, false) THEN stored_round(least(0.95::DOUBLE, 0.4::DOUBLE + top_s * 0.5::DOUBLE), 2) ELSE 0.31 END::DOUBLE AS memetic_score,
     {_SENSE(lambda s, c, d: S(s))} ELSE 'general' END AS sense, {_SENSE(lambda s, c, d: S(c))} ELSE 'general' END AS community,
     {_SENSE(lambda s, c, d: X.sql_list(d))} ELSE ['communicative_need'] END AS drivers0
     FROM joined LEFT JOIN top USING (signal_id)),
-pred AS (SELECT *, round(greatest(0.0::DOUBLE, least(0.98::DOUBLE, hybrid * 0.5::DOUBLE + velocity * 0.12::DOUBLE + acceleration * 0.18::DOUBLE + coalesce(lineage_confidence, 0.0) * 0.1::DOUBLE + memetic_score * 0.05::DOUBLE
+pred AS (SELECT *, stored_round(greatest(0.0::DOUBLE, least(0.98::DOUBLE, hybrid * 0.5::DOUBLE + velocity * 0.12::DOUBLE + acceleration * 0.18::DOUBLE + coalesce(lineage_confidence, 0.0) * 0.1::DOUBLE + memetic_score * 0.05::DOUBLE
     + CASE stage WHEN 'ACTUALIZING' THEN 0.12 ELSE 0.04 END::DOUBLE + least(0.1::DOUBLE, 0.03::DOUBLE * n_neologisms))), 3) AS predicted,
-    round(least(0.75::DOUBLE, 0.35::DOUBLE + CASE WHEN coalesce(lineage_confidence, 0) >= 0.42 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN stage = 'ACTUALIZING' THEN 0.1::DOUBLE ELSE 0 END + 0.05::DOUBLE * least(3, n_neologisms)), 3) AS predicted_confidence FROM scored),
-risked AS (SELECT *, round(predicted - hybrid, 3) AS delta,
-    round(least(0.98::DOUBLE, (0.28::DOUBLE * CASE stage WHEN 'ACTUALIZING' THEN 0.85 ELSE 0.45 END::DOUBLE + 0.14::DOUBLE * hybrid + 0.12::DOUBLE * predicted + 0.1::DOUBLE * coalesce(lineage_confidence, 0.0) + 0.08::DOUBLE * memetic_score) / 0.72::DOUBLE), 3) AS risk FROM pred),
+    stored_round(least(0.75::DOUBLE, 0.35::DOUBLE + CASE WHEN coalesce(lineage_confidence, 0) >= 0.42 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN stage = 'ACTUALIZING' THEN 0.1::DOUBLE ELSE 0 END + 0.05::DOUBLE * least(3, n_neologisms)), 3) AS predicted_confidence FROM scored),
+risked AS (SELECT *, stored_round(predicted - hybrid, 3) AS delta,
+    stored_round(least(0.98::DOUBLE, (0.28::DOUBLE * CASE stage WHEN 'ACTUALIZING' THEN 0.85 ELSE 0.45 END::DOUBLE + 0.14::DOUBLE * hybrid + 0.12::DOUBLE * predicted + 0.1::DOUBLE * coalesce(lineage_confidence, 0.0) + 0.08::DOUBLE * memetic_score) / 0.72::DOUBLE), 3) AS risk FROM pred),
 ana AS MATERIALIZED (SELECT *, CASE WHEN risk >= 0.75 THEN 'CRITICAL' WHEN risk >= 0.55 THEN 'ELEVATED' WHEN risk >= 0.35 THEN 'MODERATE' ELSE 'LOW' END AS tier,
     substr(sha256('mock|' || lower(trim(query)) || '|' || sha256(raw) || '||ingest-v1.7'), 1, 24) AS fingerprint_id FROM risked)
 """
@@ -142,7 +142,7 @@ SQL: dict[str, str] = {
     "virality_documents": f"""WITH d AS (SELECT doc_id, lower(text) AS low, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS observed FROM documents),
         v AS (SELECT doc_id, least(1.0::DOUBLE, {_WORDS} / 40.0::DOUBLE) AS vel, {count_of('low', X.SPREAD)} AS cues, low FROM d),
         a AS (SELECT *, least(1.0::DOUBLE, CASE WHEN contains(low, 'velocity') OR contains(low, 'narrative') THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END + 0.08::DOUBLE * cues) AS acc FROM v)
-        SELECT doc_id, round(vel, 3) AS velocity, round(acc, 3) AS acceleration, cues AS spread_cues, round(vel * 0.3::DOUBLE + acc * 0.4::DOUBLE + 0.75::DOUBLE * 0.3::DOUBLE, 3) AS hybrid FROM a""",
+        SELECT doc_id, stored_round(vel, 3) AS velocity, stored_round(acc, 3) AS acceleration, cues AS spread_cues, stored_round(vel * 0.3::DOUBLE + acc * 0.4::DOUBLE + 0.75::DOUBLE * 0.3::DOUBLE, 3) AS hybrid FROM a""",
     "virality": f"{ANALYSIS} SELECT signal_id, velocity, acceleration, spread_cues, hybrid, predicted, predicted_confidence, delta FROM ana",
     "hyperstition_stage": f"{ANALYSIS} SELECT signal_id, stage FROM ana",
     "neologisms": f"{ANALYSIS} SELECT signal_id, array_to_string(phrases, ',') AS phrases, array_to_string(stems, ',') AS stems, array_to_string(tails, ',') AS tails, n_neologisms FROM ana",
@@ -159,7 +159,7 @@ SQL: dict[str, str] = {
     "risk_score": f"{ANALYSIS} SELECT signal_id, risk, tier FROM ana",
     "scan_plan": f"{ANALYSIS}, d AS (SELECT * FROM {_DIMS}) SELECT signal_id, tier, cron, hours, max_queries, source FROM ana JOIN d USING (tier)",
     "scan_aggregate": f"{ANALYSIS} SELECT event_type, count(*) AS n, round(avg(CASE WHEN family IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(DISTINCT family) AS families, round(avg(risk), 6) AS mean_risk, count(*) FILTER (WHERE tier = 'CRITICAL') AS critical FROM ana GROUP BY event_type",
-    "market_signal": f"{ANALYSIS} SELECT signal_id, round(0.7::DOUBLE * hybrid + CASE WHEN stage = 'ACTUALIZING' THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END, 3) AS confidence, CASE WHEN stage = 'ACTUALIZING' AND hybrid >= 0.6 THEN 'ESCALATE' WHEN stage = 'ACTUALIZING' OR hybrid >= 0.55 THEN 'MONITOR' ELSE 'IGNORE' END AS actionable FROM ana",
+    "market_signal": f"{ANALYSIS} SELECT signal_id, stored_round(0.7::DOUBLE * hybrid + CASE WHEN stage = 'ACTUALIZING' THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END, 3) AS confidence, CASE WHEN stage = 'ACTUALIZING' AND hybrid >= 0.6 THEN 'ESCALATE' WHEN stage = 'ACTUALIZING' OR hybrid >= 0.55 THEN 'MONITOR' ELSE 'IGNORE' END AS actionable FROM ana",
     "attractors": f"{ANALYSIS} SELECT signal_id, family, hybrid, lineage_confidence, substr(sha256(fingerprint_id || '|' || stage), 1, 16) AS attractor_id FROM ana WHERE stage = 'ACTUALIZING'",
     "envelopes": f"{ANALYSIS}, e AS (SELECT signal_id, fingerprint_id, unnest(list_filter(['analysis', CASE WHEN family IS NOT NULL THEN 'lineage' END, CASE WHEN stage = 'ACTUALIZING' THEN 'loop' END], lambda x: x IS NOT NULL)) AS role FROM ana) SELECT signal_id, role, substr(sha256(fingerprint_id || '|' || role), 1, 16) AS envelope_id FROM e",
     "forecasts": f"{ANALYSIS}{_FORECASTS} SELECT signal_id, forecast_id, signal_key, round(probability, 6) AS probability FROM forecasts",
@@ -209,8 +209,9 @@ SQL: dict[str, str] = {
 }
 
 
-def _half_up(sql: str) -> str:
-    """round(x, 2 or 3) of a score rounds halves up: with the same nudge as the other side."""
+def _expand(sql: str) -> str:
+    """stored_round(x, p) rounds the stored binary value (x split in two halves of 26 bits, so that the way to the nearest half
+    unit is exact); round(x, 2 or 3) is of an average and rounds halves up with the same nudge as the other side."""
     out, at = [], 0
     while (i := sql.find("round(", at)) >= 0:
         depth, j, comma = 1, i + 6, -1
@@ -218,11 +219,17 @@ def _half_up(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             comma = j if sql[j] == "," and depth == 1 else comma
             j += 1
-        inner = _half_up(sql[i + 6 : comma])
-        places = sql[comma + 1 : j - 1].strip()
-        out += [sql[at:i], f"round({inner} + 1e-9::DOUBLE, {places})" if places in "23" else f"round({inner}, {places})"]
+        inner, places = _expand(sql[i + 6 : comma]), sql[comma + 1 : j - 1].strip()
+        if sql.endswith("stored_", at, i):
+            unit = f"{2 * 10 ** int(places)}.0::DOUBLE"
+            top = "(v * 134217729.0::DOUBLE - (v * 134217729.0::DOUBLE - v))"
+            nearest = f"round_even(v * {unit}, 0)"
+            side = f"sign(({top} * {unit} - {nearest}) + (v - {top}) * {unit})"
+            out += [sql[at : i - 7], f"list_transform([({inner})::DOUBLE], lambda v: round_even({nearest} / 2.0::DOUBLE + {side} / 4.0::DOUBLE, 0) / {10 ** int(places)}.0::DOUBLE + 0.0::DOUBLE)[1]"]
+        else:
+            out += [sql[at:i], f"round({inner} + 1e-9::DOUBLE, {places})" if places in "23" else f"round({inner}, {places})"]
         at = j
     return "".join(out) + sql[at:]
 
 
-SQL = {k: _half_up(v) for k, v in SQL.items()}
+SQL = {k: _expand(v) for k, v in SQL.items()}
