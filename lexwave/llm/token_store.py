@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, table
-from .words import BLOCK as TEXT_BLOCK
 from .words import blocks, release, utf8
 
-BLOCK, CHUNK, END, LEVEL = 1 << 16, 1 << 18, 2, 1
+#: TEXT_BLOCK: bytes of text encoded at once; what is held beside the ids is some twenty times that.
+BLOCK, CHUNK, END, LEVEL, TEXT_BLOCK = 1 << 16, 1 << 18, 2, 1, 1 << 20
 _CACHE_PIECES = 220_000
 #: Put before a piece that no blank stands before, and a line feed on its own.
 MARK = "\x01"
