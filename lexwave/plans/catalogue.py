@@ -21,7 +21,7 @@ from lexwave.sources import signals as S
 from lexwave.streaming import log as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-r6 = lambda c, name: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+r6 = lambda c, name: T.half_up(F.col(c) if isinstance(c, str) else c, 6).alias(name)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

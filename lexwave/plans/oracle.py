@@ -211,7 +211,7 @@ SQL: dict[str, str] = {
 
 def _expand(sql: str) -> str:
     """stored_round(x, p) rounds the stored binary value (x split in two halves of 26 bits, so that the way to the nearest half
-    unit is exact); round(x, 2 or 3) is of an average and rounds halves up with the same nudge as the other side."""
+    unit is exact); round(x, 2, 3 or 6) is of an average or sum and rounds halves up with the same nudge as the other side."""
     out, at = [], 0
     while (i := sql.find("round(", at)) >= 0:
         depth, j, comma = 1, i + 6, -1
@@ -227,7 +227,7 @@ def _expand(sql: str) -> str:
             side = f"sign(({top} * {unit} - {nearest}) + (v - {top}) * {unit})"
             out += [sql[at : i - 7], f"list_transform([({inner})::DOUBLE], lambda v: round_even({nearest} / 2.0::DOUBLE + {side} / 4.0::DOUBLE, 0) / {10 ** int(places)}.0::DOUBLE + 0.0::DOUBLE)[1]"]
         else:
-            out += [sql[at:i], f"round({inner} + 1e-9::DOUBLE, {places})" if places in "23" else f"round({inner}, {places})"]
+            out += [sql[at:i], f"round({inner} + 1e-9::DOUBLE, {places})" if places in "236" else f"round({inner}, {places})"]
         at = j
     return "".join(out) + sql[at:]
 
