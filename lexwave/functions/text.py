@@ -36,8 +36,8 @@ def count_of(text: Column, words: list[str]) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """The first 280 characters without the filler words, blanks collapsed."""
-    out = F.substring(text, 1, 280)
+    """The whole text without the filler words, blanks collapsed."""
+    out = text
     for w in X.CLEANED:
         out = F.replace(out, F.lit(w), F.lit(""))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

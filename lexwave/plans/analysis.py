@@ -11,8 +11,9 @@ from lexwave.sources import signals as S
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with the cleaned first 280 characters of what was read."""
     rows = S.signals(spark, sf_dir)
-    return rows.withColumn("observed", T.clean(F.col("raw")))
+    return rows.withColumn("observed", T.clean(F.substring("raw", 1, 280)))
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:

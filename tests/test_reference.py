@@ -12,6 +12,7 @@ from lexwave.operators import lineage as L
 from lexwave.operators import simulate as M
 from lexwave.operators import vectors as V
 from lexwave.plans import catalogue
+from lexwave.plans.analysis import observed
 from lexwave.sources import signals as S
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,11 @@ def test_simulations(spark):
 def test_embedding():
     a, b = V.hashed("aura farming"), V.hashed("aura farmer")
     assert math.isclose(float(a @ a), 1.0) and float(a @ b) > 0.3 and not V.hashed("").any()
+
+
+def test_clean_documents_whole(spark, tmp_path):
+    text = "word " * 100 + "pivotal  end"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.observed for r in catalogue.QUERIES["clean_documents"](spark, str(tmp_path)).collect()}
+    assert got == {1: "word " * 100 + "end", 2: None}
+    assert observed(spark, SF).agg(F.max(F.length("observed"))).first()[0] <= 280
