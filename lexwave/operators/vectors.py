@@ -22,9 +22,17 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int = 10, min_score: float =
     return scored.orderBy(F.desc("score"), "vec_id").limit(max(1, k))
 
 
-def family_boosts(found: DataFrame, cap: float = 0.12) -> DataFrame:
-    """Summed scores of the neighbours by family, scaled so that the largest is cap."""
-    return found.groupBy("label").agg(F.sum("score").alias("s")).withColumn("boost", cap * F.col("s") / F.max("s").over(Window.partitionBy())).drop("s")
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.15, where: Column | None = None) -> DataFrame:
+    """queries: rows (query_id, qv); the k best of each, against all vectors. Ties go to the smaller id."""
+    rows = vectors if where is None else vectors.filter(where)
+    scored = rows.crossJoin(queries).withColumn("score", dot(F.col("embedding"), F.col("qv"))).filter(F.col("score") >= min_score).drop("embedding", "qv")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= max(1, k))
+
+
+def family_boosts(found: DataFrame, cap: float = 0.12, by: list[str] | None = None) -> DataFrame:
+    """Summed scores of the neighbours by family, scaled so that the largest (of each by) is cap."""
+    by = by or []
+    return found.groupBy(*by, "label").agg(F.sum("score").alias("s")).withColumn("boost", cap * F.col("s") / F.max("s").over(Window.partitionBy(*by))).drop("s")
 
 
 def label_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.08) -> DataFrame:

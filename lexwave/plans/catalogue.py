@@ -344,6 +344,26 @@ def vector_family_boost(spark, sf_dir):
     return V.family_boosts(V.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 8, 0.12)).select("label", r6("boost", "boost"))
 
 
+def _asked_all(spark, sf_dir):
+    return _vectors(spark, sf_dir).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+@query
+def vector_topk_all(spark, sf_dir):
+    """vector_topk for every row whose id is divisible by 100; the SQL twin of vector_topk fixes id 0."""
+    return V.top_k_each(_vectors(spark, sf_dir), _asked_all(spark, sf_dir)).select("query_id", "rank", "vec_id", "label", r6("score", "score"))
+
+
+@query
+def vector_filtered_all(spark, sf_dir):
+    return V.top_k_each(_vectors(spark, sf_dir), _asked_all(spark, sf_dir), min_score=0.05, where=F.col("label") == 3).select("query_id", "rank", "vec_id", "label", r6("score", "score"))
+
+
+@query
+def vector_family_boost_all(spark, sf_dir):
+    return V.family_boosts(V.top_k_each(_vectors(spark, sf_dir), _asked_all(spark, sf_dir), 8, 0.12), by=["query_id"]).select("query_id", "label", r6("boost", "boost"))
+
+
 @query
 def vector_neighbors(spark, sf_dir):
     return V.label_neighbours(_vectors(spark, sf_dir)).select("label", "a", "b", r6("score", "score"), "rank")

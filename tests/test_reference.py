@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,21 @@ def test_clean_documents_whole(spark, tmp_path):
     got = {r.doc_id: r.observed for r in catalogue.QUERIES["clean_documents"](spark, str(tmp_path)).collect()}
     assert got == {1: "word " * 100 + "end", 2: None}
     assert observed(spark, SF).agg(F.max(F.length("observed"))).first()[0] <= 280
+
+
+@pytest.mark.parametrize(("name", "least", "k", "label"), [("topk", 0.15, 10, None), ("filtered", 0.05, 10, 3), ("family_boost", 0.12, 8, None)])
+def test_vector_queries_all(spark, name, least, k, label):
+    table = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet").sort_values("vec_id")
+    x = np.stack(list(table.embedding)).astype(float)
+    want = {}
+    for q in table.vec_id[table.vec_id % 100 == 0]:
+        score = x @ x[list(table.vec_id).index(q)]
+        found = sorted((-s, i, c) for s, i, c in zip(score, table.vec_id, table.label, strict=True) if s >= least and label in (None, c))[:k]
+        if name == "family_boost":
+            sums = {c: sum(-s for s, _, d in found if c == d) for _, _, c in found}
+            want |= {(q, c): 0.12 * s / max(sums.values()) for c, s in sums.items()}
+        else:
+            want |= {(q, rank, i): -s for rank, (s, i, _) in enumerate(found, 1)}
+    got = catalogue.QUERIES[f"vector_{name}_all"](spark, "/root/testdata/sf0.01").collect()
+    keys = {(r.query_id, r.label): r.boost for r in got} if name == "family_boost" else {(r.query_id, r.rank, r.vec_id): r.score for r in got}
+    assert len(got) == len(want) and len({r.query_id for r in got}) > 1 and keys == pytest.approx(want, abs=2e-6)
