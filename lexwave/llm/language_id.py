@@ -76,6 +76,15 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
     return names, z, np.vstack([root @ w[:-1], w[-1:]])
 
 
+def _letterless(texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which texts are null or have no letter."""
+    total = np.concatenate([[0], np.cumsum(_LETTER[data])]) if len(data) else np.zeros(1, np.int64)
+    out = total[off[1:]] == total[off[:-1]]
+    for i in np.flatnonzero(out):
+        out[i] = not any(c.isalpha() for c in texts[int(i)].as_py() or "")
+    return out
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,11 +99,8 @@ def _predict(model):
                     best = f.argmax(1)
                     lang[a:b] = np.array(names, object)[best]
                     score[a:b] = np.clip((f[np.arange(b - a), best] + 1) / 2, 0, 1)
-            total = np.concatenate([[0], np.cumsum(_LETTER[data])]) if len(data) else np.zeros(1, np.int64)
-            for i in np.flatnonzero(total[off[1:]] == total[off[:-1]]):
-                t = batch.column("text")[int(i)].as_py()
-                if not any(c.isalpha() for c in t or ""):
-                    lang[i], score[i] = UND, 0.0
+            bare = _letterless(batch.column("text"), data, off)
+            lang[bare], score[bare] = UND, 0.0
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
@@ -128,12 +134,17 @@ def _keep(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (out,) = predict(iter([pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], names=["text"])]))
+            texts = batch.column("text").cast(pa.string())
+            if model is None:
+                yield batch.filter(pa.array(~_letterless(texts, *utf8(texts))))
+                continue
+            (out,) = predict(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
             yield batch.filter(pa.array([x != UND for x in out.column("lang_pred").to_pylist()]))
 
     return run
 
 
 def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without those that get `und`; all their columns. The model is learned from docs' own text and lang."""
+    """docs without those that get `und`; all their columns. The model is learned from docs' own text and lang; without one,
+    only texts that are null or have no letter go."""
     return docs.mapInArrow(_keep(learn(docs)), docs.schema)

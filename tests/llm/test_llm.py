@@ -139,6 +139,13 @@ def test_language_id(spark, odd, none):
     assert kept.columns == odd.columns and not {0, 1, 2, 3} & {r.doc_id for r in kept.filter("text is null or length(text) < 6").collect() if r.text in ODD[:4]}
 
 
+def test_language_stage_unlearned(spark, odd, none):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.with_language(spark, unlabelled)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, 5, 6, 7, 8, 8, 9])
+    assert language_id.with_language(spark, none).count() == 0
+
+
 def test_license_scan(spark, odd, none):
     texts = ["x CC-BY y. All rights\nreserved", "Licensed under the GNU general PUBLIC license", "Released under the MIT License.", "Permission is hereby granted free of charge to any other person obtaining a copy of this software and associated documentation files", "cc  by cc by", "rights reserved all"]
     got = {r.doc_id: r for r in license_scan.license_scan(spark, docs(spark, texts)).collect()}
