@@ -2,7 +2,7 @@
 
 A text is the set of its byte n-grams (n of NS, A-Z lower-cased), hashed to WIDTH places; k(x, z) is the number of
 n-grams that both have over the root of the product of their numbers. Landmarks and training rows are bounded samples
-of the labelled rows (fixed numbers, chosen by a hash of doc_id, the rarer languages as often as the others); every
+of the labelled rows (fixed numbers; every language of the at most TRAIN rows is learned, chosen by a hash of doc_id, the rarer languages as often as the others); every
 text is then scored whole, by products of presence matrices.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if there is nothing to learn from.
@@ -22,8 +22,6 @@ from .common import held_out, table
 from .words import LOWER, utf8
 
 NS, WIDTH, LANDMARKS, TRAIN, RIDGE, UND = (1, 2, 3), 1 << 13, 192, 1600, 1e-3, "und"
-#: The most languages that one model learns; with TRAIN it bounds what reaches the driver.
-MAX_LANGS = 64
 _STEP, _LETTER = 128, np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -58,7 +56,7 @@ def sample(docs: DataFrame, label: str, n: int) -> DataFrame:
 
 def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """(languages, landmarks' presence rows, weights from kernel values to one score per language)."""
-    names = sorted(set(langs))[:MAX_LANGS]
+    names = sorted(set(langs))
     if not names:
         return None
     data, off = utf8(pa.array(texts, pa.string()))
@@ -71,7 +69,7 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
     root = vec[:, keep] / np.sqrt(val[keep])
     phi = np.hstack([(x @ z.T).astype(np.float64) @ root, np.ones((len(x), 1))])
     share = np.array([sum(v == c for v in langs) for c in names]) / len(langs)
-    weight = np.array([1 / (len(names) * share[names.index(v)]) if v in names else 0.0 for v in langs])
+    weight = np.array([1 / (len(names) * share[names.index(v)]) for v in langs])
     w = np.linalg.solve(phi.T @ (phi * weight[:, None]) + RIDGE * len(x) * np.eye(phi.shape[1]), phi.T @ (y * weight[:, None]))
     return names, z, np.vstack([root @ w[:-1], w[-1:]])
 

@@ -146,6 +146,17 @@ def test_language_stage_unlearned(spark, odd, none):
     assert language_id.with_language(spark, none).count() == 0
 
 
+def test_language_many(spark):
+    words = {f"l{i:02}": [sentence(5000 + 10 * i + j, 1).translate(str.maketrans("0123456789", "abcdefghij")) for j in range(6)] for i in range(70)}
+    rng = random.Random(2)
+    langs = {i: sorted(words)[i % 70] for i in range(840)}
+    d = docs(spark, [" ".join(rng.choices(words[langs[i]], k=15)) for i in range(840)], langs)
+    got = language_id.language_id(spark, d, d).collect()
+    last = [r for r in got if langs[r.doc_id] >= "l64"]
+    assert len(last) == 72 and sum(r.lang_pred == langs[r.doc_id] for r in last) >= 70
+    assert sum(r.lang_pred == langs[r.doc_id] for r in got) >= 820
+
+
 def test_license_scan(spark, odd, none):
     texts = ["x CC-BY y. All rights\nreserved", "Licensed under the GNU general PUBLIC license", "Released under the MIT License.", "Permission is hereby granted free of charge to any other person obtaining a copy of this software and associated documentation files", "cc  by cc by", "rights reserved all"]
     got = {r.doc_id: r for r in license_scan.license_scan(spark, docs(spark, texts)).collect()}
