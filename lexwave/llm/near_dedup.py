@@ -11,7 +11,8 @@ allow (ratio of total weights; triangle inequality of the weighted Jaccard dista
 Verified pairs are joined to components in Spark; a document's class is its component's smallest doc_id.
 
 A null text counts as empty. Texts without words are alike only if equal. Shorter texts than K words have one shingle.
-Rows with a null doc_id form no class (class_id null). Repeated rows fall in one class. Other columns are ignored; an
+Rows with a null doc_id form no class (class_id null). Repeated rows fall in one class; different texts of one doc_id are
+documents of their own (named alike where classes are reported). Other columns are ignored; an
 empty table gives no rows.
 """
 
@@ -253,9 +254,30 @@ def _similarities(spark: SparkSession, pairs: DataFrame, docs: DataFrame, weigh:
     return saved(spark, met.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with _number: one for each (doc_id, text), in the order of doc_id, null ids last; written once."""
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    pairs = keyed.select("_id", "_text").distinct().orderBy(F.asc_nulls_last("_id"), "_text")
+    numbers = saved(spark, pairs.withColumn("_number", F.monotonically_increasing_id()), "numbers").withColumnsRenamed({"_id": "_i", "_text": "_t"})
+    met = keyed.join(numbers, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")))
+    return saved(spark, met.select(*docs.columns, "_number"), "numbered")
+
+
 def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, class_id) of every row, and the links (a, b, sim) between documents of different texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _classes(spark, docs)
+    # an id may stand on several texts: each (doc_id, text) is a document
+    rows = _numbered(spark, docs)
+    out, links = _classes(spark, rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_number")).alias("doc_id"), "text"))
+    ids = rows.filter(F.col("doc_id").isNotNull()).select("_number", "doc_id").distinct()
+    name = lambda df, c: df.withColumnRenamed(c, "_n").join(ids.withColumnRenamed("doc_id", c), F.col("_n") == F.col("_number"), "left").drop("_n", "_number")
+    return name(name(out, "doc_id"), "class_id").select("doc_id", "key", "class_id"), name(name(links, "a"), "b").select("a", "b", "sim")
+
+
+def _classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """near_classes of docs (doc_id, text) whose ids stand on one text each."""
     weigh = idf(spark, docs)
     marks = saved(spark, docs.mapInArrow(_signatures(weigh), "doc_id long, key binary, total double, bands array<long>"), "marks")
     # equal texts: the smallest doc_id stands for them
@@ -292,14 +314,16 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Keeps the first document of each class (rows with a null doc_id stay); all of docs' columns."""
-    classes, _ = near_classes(spark, docs)
+    """Keeps the first document of each class, a row each; all of docs' columns. Rows are told apart by doc_id and text, so
+    that different texts of one id stay; a row with a null doc_id goes if it is a copy, after all others in order."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
+        rows, key = _numbered(spark, docs), "_number"
+    else:
+        rows, key = docs, "doc_id"
+    classes, _ = _classes(spark, rows.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     gone = saved(spark, classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows: one of them
-        named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter(F.col("doc_id").isNull()))
-    return kept
+    kept = rows.join(broadcast_if_small(gone), F.col(key).cast("long") == F.col("gone_id"), "left_anti")
+    return kept.dropDuplicates(["_number"]).select(*docs.columns) if key == "_number" else kept
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,17 @@ def test_near_dedup(spark, odd, none):
     assert near_dedup.near_dedup(spark, none).count() == 0
 
 
+def test_near_dedup_ids(spark):
+    a, b, c, d = (sentence(7000 + i, 80) for i in range(4))
+    near = " ".join(a.split()[:-3])
+    texts = [(1, a), (7, near), (7, b), (7, c), (7, c), (3, b), (9, c), (9, d)]
+    ids = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = [tuple(r) for r in near_dedup.near_dedup(spark, ids).collect()]
+    assert sorted(kept) == sorted([(1, a), (3, b), (7, c), (9, d)])
+    out, _ = near_dedup.near_classes(spark, ids)
+    assert Counter((r.doc_id, r.class_id) for r in out.collect()) == Counter([(1, 1), (7, 1), (7, 3), (7, 7), (7, 7), (3, 3), (9, 7), (9, 9)])
+
+
 def test_preferences(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", None), (2, 0, "user", "x"), (None, 0, "user", "y"), (3, None, "user", "z")]
     rej = [(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (4, 0, "assistant", "only")]
