@@ -6,7 +6,7 @@ unmarked words is marked, again and again, until none of K words is left; so reo
 contaminated by an item if the marked words are COVERAGE of the item's or more.
 
 An item of 1 to K-1 words is one seed of all its words. Items without words, null texts and texts without words match
-nothing. Rows of equal doc_id count as one document; rows with a null doc_id match nothing and stay. Other columns are
+nothing. Rows of equal doc_id count as one document; rows with a null doc_id match nothing in matches, but decontaminate checks each. Other columns are
 ignored (kept by decontaminate). Empty tables give no matches.
 """
 
@@ -123,9 +123,18 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = saved(spark, contaminated(spark, docs, benchmark, coverage).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad), F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    """docs without the contaminated ones; a row with a null doc_id is a document of its own, under a number made for this stage."""
+    named = _clean(spark, docs, "doc_id", benchmark, coverage)
+    if not docs.filter(F.col("doc_id").isNull()).limit(1).count():
+        return named
+    rows = saved(spark, docs.filter(F.col("doc_id").isNull()).withColumn("_row", F.monotonically_increasing_id()), "unnamed")
+    return named.filter(F.col("doc_id").isNotNull()).unionByName(_clean(spark, rows, "_row", benchmark, coverage).select(*docs.columns))
+
+
+def _clean(spark: SparkSession, rows: DataFrame, key: str, benchmark: DataFrame, coverage: float) -> DataFrame:
+    texts = rows.select(F.col(key).cast("long").alias("doc_id"), "text")
+    bad = saved(spark, contaminated(spark, texts, benchmark, coverage).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    return rows.join(broadcast_if_small(bad), F.col(key).cast("long") == F.col("bad_id"), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

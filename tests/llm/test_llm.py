@@ -287,6 +287,16 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.decontaminate(spark, odd, bench).count() == len(ODD) + 1 and decontaminate.decontaminate(spark, none, bench).count() == 0
 
 
+def test_null_ids(spark):
+    item, other = sentence(8000, 30), sentence(8001, 60)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    d = spark.createDataFrame([(None, f"{sentence(1)} {item}"), (None, other), (None, other), (1, sentence(2)), (2, item), (None, None)], "doc_id long, text string")
+    kept = decontaminate.decontaminate(spark, d, bench)
+    assert kept.columns == d.columns and Counter(map(tuple, kept.collect())) == Counter([(None, other), (None, other), (1, sentence(2)), (None, None)])
+    deduped = near_dedup.near_dedup(spark, kept.unionByName(spark.createDataFrame([(3, other)], d.schema)))
+    assert Counter(map(tuple, deduped.collect())) == Counter([(3, other), (1, sentence(2)), (None, None)])
+
+
 def test_tiles():
     assert sorted(decontaminate.tiles([(0, 10, 5), (1, 11, 5), (0, 30, 5)])) == [(0, 10, 6)]
     assert sorted(t[2] for t in decontaminate.tiles([(0, 7, 5), (1, 8, 5), (6, 0, 5), (7, 1, 5)])) == [6, 6]
