@@ -11,9 +11,10 @@ gives an empty store. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ _CACHE_PIECES = 220_000
 #: Put before a piece that no blank stands before, and a line feed on its own.
 MARK = "\x01"
 FEED = MARK + "\n"
+#: Fixed value: how byte-level vocabularies of this kind split a text, here for ASCII.
+_ASCII_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 STORE = "part int, chunk int, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, frames array<int>, planes binary"
 
 
@@ -41,69 +44,86 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct piece of text once.
+    """Encodes texts with the tokenizers library as one plain call a text does, each distinct piece of text once.
 
     The vocabulary's splitter always begins anew at a blank between non-blanks, at a comma or full stop after a letter
     or digit, and before and after a line feed between non-blanks. So a text is cut there, and its ids are its pieces'
-    ids in a row. Texts where such a place is not as described (runs of blanks, `..`) are encoded whole.
+    ids in a row. Texts where such a place is not as described (runs of blanks, `..`) or that hold one of the
+    vocabulary's added tokens (`<|endoftext|>`) are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
+        self.tokenize = self.tok.model.tokenize
+        self.foreign = [MARK, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in plain else next(rest) for b in range(256)}
+        self.blank = chr(self.alphabet[32])
         self.clear()
 
     def clear(self):
         #: piece -> number; MARK before a piece: no blank stands before it. Number 0: only with its whole text.
         self.known: dict[str, int] = {}
-        self.ids, self.at, self.n = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 1
+        self.ids, self.at, self.n = np.empty(1 << 18, np.int32), np.zeros(1 << 16, np.int64), 1
         self.ends, self.stops = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
 
     def _add(self, pieces: list[str]) -> None:
-        units, rest, got = [], [], []
-        known, model, alphabet = self.known, self.model, self.alphabet
+        known, tokenize, blank, alphabet = self.known, self.tokenize, self.blank, self.alphabet
+        ids, size, ends, stops, slow, n = array("i"), [], [], [], [], self.n
         for x in pieces:
-            lead = x[:1] != MARK
-            bare = x if lead else x[1:]
-            if not bare or MARK in bare or (bare[0].isspace() or bare[-1].isspace()) and x != FEED:
-                known[x] = 0
-                continue
-            units.append(x)
-            u = " " + bare if lead else bare
-            if bare.isalpha():  # a run of letters is one word to the vocabulary's splitter
-                got.append([t.id for t in model.tokenize(u.encode().decode("latin-1").translate(alphabet))])
+            if x.isascii() and (x.isalpha() or x.isdigit()):  # a run of letters or digits is one word to the vocabulary's splitter
+                got = tokenize(blank + x)
             else:
-                rest.append((len(got), u))
-                got.append(None)
-        for lo in range(0, len(rest), 4096):
-            some = rest[lo : lo + 4096]
-            for (i, _), e in zip(some, self.tok.encode_batch_fast([u for _, u in some], add_special_tokens=False), strict=True):
-                got[i] = e.ids
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        end, top = self.at[self.n] + size.sum(), self.n + len(got)
+                lead = x[:1] != MARK
+                bare = x if lead else x[1:]
+                if not bare or MARK in bare or (bare[0].isspace() or bare[-1].isspace()) and x != FEED:
+                    known[x] = 0
+                    continue
+                u = " " + bare if lead else bare
+                if u.isascii():
+                    got = [t for w in _ASCII_WORDS.findall(u) for t in tokenize(w.translate(alphabet))]
+                elif bare.isalpha():
+                    got = tokenize(u.encode().decode("latin-1").translate(alphabet))
+                else:
+                    slow.append((n, x, u))
+                    continue
+            known[x] = n
+            n += 1
+            ids.extend([t.id for t in got])
+            size.append(len(got))
+            ends.append(x[-1].isalnum())
+            stops.append(x[0] == MARK and x[1] in ",.")
+        for lo in range(0, len(slow), 4096):
+            some = slow[lo : lo + 4096]
+            for (_, x, _), e in zip(some, self.tok.encode_batch_fast([u for _, _, u in some], add_special_tokens=False), strict=True):
+                known[x] = n
+                n += 1
+                ids.extend(e.ids)
+                size.append(len(e.ids))
+                ends.append(x[-1].isalnum())
+                stops.append(x[0] == MARK and x[1] in ",.")
+        if n == self.n:
+            return
+        end = self.at[self.n] + len(ids)
         while len(self.ids) < end:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.at) < top + 1:
+        while len(self.at) < n + 1:
             self.at, self.ends, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.ends, self.stops))
-        self.ids[self.at[self.n] : end] = np.fromiter(chain.from_iterable(got), np.int32, size.sum())
-        self.at[self.n + 1 : top + 1] = self.at[self.n] + np.cumsum(size)
-        self.ends[self.n : top] = [x[-1].isalnum() for x in units]
-        self.stops[self.n : top] = [x[:1] == MARK and x[1] in ",." for x in units]
-        known.update(zip(units, range(self.n, top), strict=True))
-        self.n = top
+        self.ids[self.at[self.n] : end] = np.frombuffer(ids, np.int32)
+        self.at[self.n + 1 : n + 1] = self.at[self.n] + np.cumsum(size)
+        self.ends[self.n : n], self.stops[self.n : n] = ends, stops
+        self.n = n
 
     def _numbers(self, names: list[str]) -> np.ndarray:
-        known = self.known
-        if new := list(dict.fromkeys(x for x in names if x not in known)):
-            self._add(new)
-        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        got = list(map(self.known.get, names))
+        if None in got:
+            self._add(list(dict.fromkeys(x for x, n in zip(names, got, strict=True) if n is None)))
+            got = list(map(self.known.__getitem__, names))
+        return np.array(got, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text)."""
@@ -120,7 +140,7 @@ class Encoder:
         flat = split.flatten()
         off -= off[0]
         pieces = flat.dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
         number[off[:-1]] = self._numbers([MARK + x for x in flat.take(pa.array(off[:-1])).to_pylist()])
         odd = number == 0
         wrong = self.stops[number[1:]] & ~self.ends[number[:-1]]
@@ -128,8 +148,9 @@ class Encoder:
         size = self.at[number + 1] - self.at[number]
         ids, _ = ragged(self.ids, self.at[number], size)
         out_off = np.concatenate([[0], np.cumsum(size)])[off]
-        foreign = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
-        bad = np.flatnonzero((np.add.reduceat(odd.astype(np.int64), off[:-1]) > 0) | foreign)
+        for x in self.foreign:
+            odd[off[:-1]] |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        bad = np.flatnonzero(np.add.reduceat(odd.astype(np.int64), off[:-1]))
         if len(bad):
             size, parts = np.diff(out_off), [ids[a:b] for a, b in zip(out_off[:-1], out_off[1:], strict=True)]
             got = self.tok.encode_batch_fast([texts[int(i)].as_py() for i in bad], add_special_tokens=False)
@@ -222,6 +243,8 @@ def _write(path: str):
                 release()
         if docs:
             yield flush()
+        encoder.clear()  # the worker may serve others next
+        release()
 
     return run
 
@@ -242,8 +265,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+    """Ranges are cut by doc_id, then by the text's hash and the row's place, so that rows of one doc_id may fill many."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), "h", "place"]
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     ranged.mapInArrow(_write(tokenizer or tokenizer_path()), STORE).write.option("compression", "none").option("parquet.block.size", str(32 << 20)).parquet(path)
 
 

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; one longer text is handled alone.
-BLOCK = 1 << 22
+#: Bytes handled at once, which bounds a worker's memory; one longer text is handled alone.
+BLOCK = 1 << 20
 _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -42,12 +42,17 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_P, _PINV)):
-            x = np.full(max(n, BLOCK + 1), base, np.uint64)
-            x[0] = 1
-            _powers[i] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers of the two bases; those up to a block's length are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    out = []
+    for base in (_P, _PINV):
+        x = np.full(max(n, BLOCK + 1), base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    if len(out[0]) == BLOCK + 1:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 def release() -> None:
