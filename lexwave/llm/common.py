@@ -31,12 +31,25 @@ def new_path(spark: SparkSession, what: str) -> str:
 def saved(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: written to the shared folder and read again."""
     df.write.parquet(path := new_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Deletes tables made by saved that nothing reads any more."""
+    for x in tables:
+        if x is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(x.saved_at)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id) -> F.Column:
@@ -48,25 +61,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few numbers each that may be broadcast: some tens of MB at most.
-SMALL = 1_000_000
+#: Rows, and bytes on disk, of written tables that may be broadcast: some tens of MB in memory at most.
+SMALL, SMALL_BYTES = 1_000_000, 12 << 20
+
+
+def written_bytes(spark: SparkSession, df: DataFrame) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """df must be cheap to count (a written table). Beyond the limit the join shuffles instead."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df must be a table of saved, or be cheap to count. Beyond the limits of rows and bytes the join shuffles instead."""
+    small = (not hasattr(df, "saved_at") or written_bytes(df.sparkSession, df) <= SMALL_BYTES) and df.limit(limit + 1).count() <= limit
+    return F.broadcast(df) if small else df
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component of edges (a, b); in Spark, one written table a round."""
-    both = saved(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = saved(spark, both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    """(node, label): the smallest node of each connected component of edges (a, b); in Spark, one written table a round. A
+    node of many edges is many rows of one key in a join without order, which adaptive execution splits."""
+    pairs = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))])).alias("e")
+    both = saved(spark, edges.select(pairs).select("e.*").distinct(), "edges")
+    labels = saved(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         # pointer jumping: the label's own label
         via = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = saved(spark, least.join(via, F.col("label") == F.col("via")).select("node", "old", F.least("label", "next").alias("label")), "labels")
-        if not new.filter("label <> old").limit(1).count():
-            return new.select("node", "label")
+        new = saved(spark, near.join(via, F.col("near") == F.col("via")).select(F.col("a").alias("node"), F.least("near", "next").alias("label"), "old"), "labels")
+        drop(spark, labels)
         labels = new.select("node", "label")
+        labels.saved_at = new.saved_at
+        if not new.filter("label <> old").limit(1).count():
+            drop(spark, both)
+            return labels

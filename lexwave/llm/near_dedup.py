@@ -5,10 +5,15 @@ that more than RARE of all documents have. Those number at most (mean shingles p
 input, and so are broadcast; all others weigh alike. The damping keeps near copies of a very large group alike: with
 the plain logarithm, the few words changed in one copy would outweigh all that the group shares.
 
-Documents with equal texts form a group first (by a 128-bit hash). Each band's bucket is compared with its first member
-(a star, not all pairs); members unlike it are compared with all of the bucket's members that the two exact bounds
-allow (ratio of total weights; triangle inequality of the weighted Jaccard distance), so that a bucket loses no link.
-Verified pairs are joined to components in Spark; a document's class is its component's smallest doc_id.
+Documents with equal texts form a group first (by a 128-bit hash). Verified pairs are joined to components in Spark, and
+a pair inside one component needs no check. So buckets are settled by rounds: STARS times, each member is compared with
+one member of its bucket, a hub, if that is of another component. Of buckets that still hold several components,
+small ones (WIDE members at most) compare all members of the smaller components with the rest. The documents of wide ones
+are sorted out in two steps without making their pairs: (1) a document less than SIMILARITY of whose weight lies in
+shingles that other components' documents have can't be alike to any of them, and goes (exact); (2) the others draw POOL
+further samples, are banded by 16 of them (FINE_BANDS times) and settled by rounds again, where only pairs meet whose
+sketches (some bits of each sample) agree as a pair above the bound does but for 3 in 100,000; what is left is verified exactly.
+A document's class is its component's smallest doc_id.
 
 A null text counts as empty. Texts without words are alike only if equal. Shorter texts than K words have one shingle.
 Rows with a null doc_id form no class (class_id null). Repeated rows fall in one class; different texts of one doc_id are
@@ -20,20 +25,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, partitions, saved, table
-from .words import each, mix
+from .common import SMALL, broadcast_if_small, components, drop, fresh, partitions, saved, table
+from .words import blocks, each, mix
 
 K, SIMILARITY, RARE, DAMP, BANDS, ROWS = 5, 0.8, 1e-3, 0.25, 14, 4
-#: Distinct hashes a task holds before it hands them on; pairs that share one copy of a first member's shingles.
-_HOLD, _SHARE, _EPS = 1 << 22, 2000, 1e-9
-#: Bytes of shingles of the documents in question up to which they are broadcast instead of shuffled with the pairs.
-_FEW_BYTES = 24 << 20
+#: Rounds of stars; members up to which a bucket compares its components directly; samples of the documents of wider ones.
+STARS, WIDE, POOL, FINE_BANDS, FINE_ROWS = 2, 32, 1024, 288, 16
+#: Distinct hashes a task holds before it hands them on; members that share one copy of those they are compared with.
+_HOLD, _BLOCK, _EPS = 1 << 22, 512, 1e-9
+#: Bits that a sketch holds of each sample, and the samples of two sketches that may differ: the mean at SIMILARITY and
+#: four standard deviations.
+_PLANE = ("p0", "p1", "p2", "p3")
+_UNLIKE = (1 - SIMILARITY) * (1 - 2.0 ** -len(_PLANE))
+_DIFFER = int(POOL * _UNLIKE + 4 * (POOL * _UNLIKE * (1 - _UNLIKE)) ** 0.5)
 
 
 def _gamma2(n: int = 1 << 16) -> np.ndarray:
@@ -58,6 +69,7 @@ def _lookup() -> list[np.ndarray]:
 
 
 _SEEDS = mix(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+_POOL_SEEDS = mix(np.arange(1, 1 + POOL, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)) | np.uint64(1)
 
 
 def sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,12 +105,11 @@ class Idf:
         return out
 
 
-def sample_bands(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Band keys (texts x BANDS) of texts that all have a shingle."""
+def _samples(h: np.ndarray, w: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> Iterator[np.ndarray]:
+    """For each seed, a code of every text's consistent weighted sample; each text has a shingle."""
     r_of, inv_of, lnc_of = _lookup()
     lnw, start, size = np.log(w).astype(np.float32), at[:-1], np.diff(at)
-    keys = np.zeros((len(start), BANDS), np.uint64)
-    for k, seed in enumerate(_SEEDS):
+    for k, seed in enumerate(seeds):
         x = h * seed
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
@@ -109,11 +120,34 @@ def sample_bands(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
         least = np.minimum.reduceat(lna, start)
         hit = np.flatnonzero(lna == np.repeat(least, size))
         hit = hit[np.searchsorted(hit, start)]
+        yield h[hit] + t[hit].astype(np.int64).view(np.uint64) + np.uint64(k)
+
+
+def sample_bands(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Band keys (texts x BANDS) of texts that all have a shingle."""
+    keys = np.zeros((len(at) - 1, BANDS), np.uint64)
+    for k, code in enumerate(_samples(h, w, at, _SEEDS)):
         b = k // ROWS
-        keys[:, b] = mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + h[hit] + t[hit].astype(np.int64).view(np.uint64) + np.uint64(k))
+        keys[:, b] = mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + code)
     return keys
 
 
+def fine_bands(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (texts x FINE_BANDS) of FINE_ROWS of the POOL samples each, and sketches (texts x POOL / 64 x planes): bits of each sample."""
+    codes = np.empty((len(at) - 1, POOL), np.uint64)
+    for k, code in enumerate(_samples(h, w, at, _POOL_SEEDS)):
+        codes[:, k] = mix(code)
+    pick = np.random.default_rng(17)
+    keys = np.empty((len(codes), FINE_BANDS), np.uint64)
+    for b in range(FINE_BANDS):
+        key = np.full(len(codes), b, np.uint64)
+        for k in pick.choice(POOL, FINE_ROWS, replace=False):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + codes[:, k]
+        keys[:, b] = mix(key)
+    planes = [np.packbits((codes >> np.uint64(63 - p) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64) for p in range(len(_PLANE))]
+    return keys, np.stack(planes, 2)
+
+
 def _pack(h: np.ndarray) -> bytes:
     import zstandard
 
@@ -128,33 +162,69 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64))
 
 
+def _tallied(ranges: int, arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's distinct hashes with how many documents have each, by range of the hash: sorted steps in byte planes, so that
+    millions of hashes travel as a few rows."""
+    held, n = [], 0
+
+    def flush():
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        cut = np.searchsorted(h >> np.uint64(32), (np.arange(1, ranges) << 32) // ranges)
+        rows = [(i, _pack(x), y.astype(np.uint32).tobytes() if (y > 1).any() else b"") for i, (x, y) in enumerate(zip(np.split(h, cut), np.split(c, cut), strict=True)) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([_squeeze(r[2]) for r in rows], pa.binary())], names=["range", "h", "c"])
+
+    for h in arrays:
+        held.append(h)
+        n += len(h)
+        if n >= _HOLD:
+            n = 0
+            yield flush()
+    if n:
+        yield flush()
+
+
 def _count(ranges: int):
-    """Emits each task's distinct shingles with their number of documents, by range of the hash: sorted steps in byte planes."""
+    return lambda batches: _tallied(ranges, (sets(*w.shingles(K))[0] for batch in batches for _, _, w in each(batch)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            cut = np.searchsorted(h >> np.uint64(32), (np.arange(1, ranges) << 32) // ranges)
-            rows = [(i, _pack(x), y.astype(np.uint32).tobytes() if (y > 1).any() else b"") for i, (x, y) in enumerate(zip(np.split(h, cut), np.split(c, cut), strict=True)) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([_squeeze(r[2]) for r in rows], pa.binary())], names=["range", "h", "c"])
+def _count_keys(ranges: int):
+    return lambda batches: _tallied(ranges, (batch.column("bands").flatten().to_numpy().view(np.uint64) for batch in batches))
 
+
+_SLOTS = 24
+
+
+def _picked(slots: np.ndarray | None):
+    """(id, bucket) of the keys of each document, of those only whose slot is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, w in each(batch):
-                h, _, _ = sets(*w.shingles(K))
-                held.append(h)
-                n += len(h)
-                if n >= _HOLD:
-                    n = 0
-                    yield flush()
-        if n:
-            yield flush()
+            keys = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            at = np.repeat(np.arange(len(batch)), FINE_BANDS)
+            if slots is not None:
+                keep = np.flatnonzero(slots[keys >> np.uint64(64 - _SLOTS)])
+                keys, at = keys[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(keys.view(np.int64))], names=["id", "bucket"])
 
     return run
 
 
+def _shared(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """(id, band, bucket) of the fine keys that several documents have. A key tells its band."""
+    ranges = 4 * partitions(spark)
+    counts = keyed.select("bands").mapInArrow(_count_keys(ranges), "range int, h binary, c binary")
+    several = saved(spark, counts.groupBy("range").applyInPandas(_frequent(1), "h long, df long").select("h"), "shared")
+    slots = None
+    if several.limit(SMALL + 1).count() <= SMALL:  # else all keys are joined
+        slots = np.zeros(1 << _SLOTS, bool)
+        slots[several.toPandas()["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SLOTS)] = True
+    rows = keyed.select("id", "bands").mapInArrow(_picked(slots), "id long, bucket long").join(broadcast_if_small(several), F.col("bucket") == F.col("h"), "left_semi")
+    rows = saved(spark, rows.select("id", F.lit(0).alias("band"), "bucket"), "fine")
+    drop(spark, several)
+    return rows
+
+
 def _squeeze(counts: bytes) -> bytes:
     import zstandard
 
@@ -212,11 +282,40 @@ def _weighted(weigh: Idf):
                 h, tf, at = sets(*w.shingles(K))
                 weight = (tf * weigh(h)).astype(np.float32)
                 cut = list(zip(at[:-1], at[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([h[s:e].tobytes() for s, e in cut], pa.binary()), pa.array([weight[s:e].tobytes() for s, e in cut], pa.binary())], names=["doc_id", "h", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([h[s:e].tobytes() for s, e in cut], pa.binary()), pa.array([weight[s:e].tobytes() for s, e in cut], pa.binary())], names=["id", "h", "w"])
 
     return run
 
 
+def _ends(blobs: pa.Array, width: int) -> np.ndarray:
+    """Offsets of binary values, in items of so many bytes."""
+    size = np.array([len(x) for x in blobs.to_pylist()], np.int64) // width
+    return np.concatenate([[0], np.cumsum(size)])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of (id, label, h, w)."""
+    for batch in batches:
+        at = _ends(batch.column("h"), 8)
+        row = np.repeat(np.arange(len(batch)), np.diff(at))
+        h, w = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("h", np.int64), ("w", np.float32)))
+        ids = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label")], names=["id", "label"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([ids.column("id"), ids.column("label"), pa.array(h), pa.array(w.astype(np.float64))], names=["id", "label", "x", "w"])
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and sketch of each (id, h, w)."""
+    for batch in batches:
+        ends = _ends(batch.column("h"), 8)
+        for a, b in blocks(ends, 1 << 17):
+            part = batch.slice(a, b - a)
+            h, w = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("w", np.float32)))
+            keys, bits = fine_bands(h, w, ends[a : b + 1] - ends[a])
+            words = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(bits[:, :, p]).reshape(-1).view(np.int64)) for p in range(len(_PLANE))], names=list(_PLANE))
+            listed = [pa.ListArray.from_arrays(pa.array((np.arange(b - a + 1) * x.shape[1]).astype(np.int32)), flat) for x, flat in ((keys, pa.array(keys.reshape(-1).view(np.int64))), (bits, words))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *listed], names=["id", "bands", "sketch"])
+
+
 def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted sets."""
     at = np.minimum(np.searchsorted(ha, hb), max(len(ha) - 1, 0))
@@ -236,43 +335,116 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=["a", "b", "sim"])
 
 
-def _similarities(spark: SparkSession, pairs: DataFrame, docs: DataFrame, weigh: Idf, what: str) -> DataFrame:
-    """(a, b, sim) of pairs (a, b); a may be in any number of them: its shingles go out once for _SHARE pairs."""
-    ids = saved(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{what}-ids")
-    texts = docs.join(broadcast_if_small(ids), docs.doc_id == ids.id).select("doc_id", "text")
-    shingles = saved(spark, texts.mapInArrow(_weighted(weigh), "doc_id long, h binary, w binary").dropDuplicates(["doc_id"]), f"{what}-sets")
-    right = shingles.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    size = shingles.agg(F.sum(F.length("h") + F.length("w"))).first()[0] or 0
-    if size <= _FEW_BYTES:
-        left = shingles.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-        met = pairs.repartition(partitions(spark)).join(F.broadcast(left), "a").join(F.broadcast(right), "b")
-    else:
-        copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _SHARE).cast("int").alias("copies"))
-        salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
-        left = shingles.join(copies, shingles.doc_id == copies.a).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-        met = salted.join(left, ["a", "salt"]).join(right, "b")
-    return saved(spark, met.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
+def _similarities(spark: SparkSession, pairs: DataFrame, shingles: DataFrame, what: str) -> DataFrame:
+    """(a, b, sim) of pairs (a, b): each pair takes b's shingles, then a's. A hub's pairs are many rows of one key beside its one
+    row, which adaptive execution splits."""
+    one = shingles.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
+    two = shingles.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+    return saved(spark, pairs.join(two, "b").join(one, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
+
+
+class _Links:
+    """What is known so far: compared pairs, and the component of each document that has a link."""
+
+    def __init__(self, spark: SparkSession, shingles: DataFrame):
+        self.spark, self.shingles, self.compared, self.labels = spark, shingles, None, None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (id, ..) with label: the component's, or the document's own."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(broadcast_if_small(self.labels), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) that are not known; joins the components of alike ones."""
+        if self.compared is not None:
+            pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
+        got = _similarities(self.spark, pairs, self.shingles, "compared")
+        self.compared = got if self.compared is None else self.compared.unionByName(got)
+        if got.filter(F.col("sim") >= SIMILARITY).limit(1).count():
+            before, self.labels = self.labels, components(self.spark, self.alike())
+            drop(self.spark, before)
+
+    def alike(self) -> DataFrame:
+        return self.compared.filter(F.col("sim") >= SIMILARITY)
+
+
+_KEY = ["band", "bucket"]
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with _number: one for each (doc_id, text), in the order of doc_id, null ids last; written once."""
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    pairs = keyed.select("_id", "_text").distinct().orderBy(F.asc_nulls_last("_id"), "_text")
-    numbers = saved(spark, pairs.withColumn("_number", F.monotonically_increasing_id()), "numbers").withColumnsRenamed({"_id": "_i", "_text": "_t"})
-    met = keyed.join(numbers, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")))
-    return saved(spark, met.select(*docs.columns, "_number"), "numbered")
+def _near(a: str, b: str, sketched: bool) -> F.Column:
+    """Which pairs may be alike: by their total weights, and their sketches."""
+    out = F.least(f"{a}.total", f"{b}.total") >= (SIMILARITY - _EPS) * F.greatest(f"{a}.total", f"{b}.total")
+    if sketched:
+        either = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (x[c].bitwiseXOR(y[c]) for c in _PLANE))))
+        out &= F.aggregate(either, F.lit(0), lambda x, y: x + y) <= _DIFFER
+    return out
+
+
+_PAIR = ("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b")
+
+
+def _star(rows: DataFrame, turn: int, sketched: bool) -> DataFrame:
+    """Pairs of each member and its bucket's hub of another component; the hub is the same in most of a document's bands."""
+    order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("id", F.lit(turn)), "id")
+    hubs = rows.groupBy(*_KEY).agg(F.min_by(F.struct("id", "label", *(c for c in rows.columns if c in ("total", "sketch"))), order).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*_KEY, "y.*")
+    x, y = rows.alias("x"), hubs.alias("y")
+    return x.join(y, _KEY).filter((F.col("x.label") != F.col("y.label")) & _near("x", "y", sketched)).selectExpr(*_PAIR).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Buckets that hold several components: members, and the component of most of them."""
+    by = rows.groupBy(*_KEY, "label").agg(F.count(F.lit(1)).alias("c"))
+    return by.groupBy(*_KEY).agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+
+
+def _across(rows: DataFrame, open_: DataFrame, sketched: bool) -> DataFrame:
+    """Pairs of components: the members outside the main one meet blocks of all members."""
+    met = rows.join(open_, _KEY).withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int"))
+    x = met.filter("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
+    new = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    return x.join(y, [*_KEY, "block"]).filter(new & _near("x", "y", sketched)).selectExpr(*_PAIR).distinct()
+
+
+def _fine(spark: SparkSession, links: _Links, hot: DataFrame) -> None:
+    """Settles the documents hot (id, total) of wide buckets, see above."""
+    own = saved(spark, links.labelled(hot).join(links.shingles, "id"), "hot")
+    bare = own.select("id", "label", "h", "w").repartition(partitions(spark)).mapInArrow(_unfolded, "id long, label long, x long, w double")
+    spread = bare.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("x")
+    may = bare.join(spread, "x").groupBy("id").agg(F.sum("w").alias("common")).withColumnRenamed("id", "may")
+    left = own.join(may, F.col("id") == F.col("may")).filter(F.col("common") >= (SIMILARITY - 1e-6) * F.col("total")).select("id", "total", "h", "w")
+    keyed = left.repartition(partitions(spark)).mapInArrow(_finer, f"id long, bands array<long>, sketch array<struct<{', '.join(f'{c}: long' for c in _PLANE)}>>")
+    keyed = saved(spark, keyed.join(hot, "id"), "finer")
+    rows = _shared(spark, keyed)
+    full = lambda: links.labelled(rows.join(keyed.select("id", "total", "sketch"), "id"))
+    links.compare(_star(full(), 1, True))
+    again = full()
+    links.compare(_across(again, _open(again), True))
+    drop(spark, own, keyed, rows)
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number column, and its name: one number for each (doc_id, text), in the order of doc_id, null ids last; written once."""
+    number = fresh(docs, "number")
+    pair = (F.col("doc_id").cast("long").alias("i"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("t"))
+    pairs = docs.select(*pair).distinct().orderBy(F.asc_nulls_last("i"), "t")
+    numbers = saved(spark, pairs.withColumn("n", F.monotonically_increasing_id()), "numbers")
+    met = docs.select(F.struct(*docs.columns).alias("row"), *pair).alias("x").join(numbers.alias("y"), F.col("x.i").eqNullSafe(F.col("y.i")) & (F.col("x.t") == F.col("y.t")))
+    return saved(spark, met.select("row.*", F.col("y.n").alias(number)), "numbered"), number
 
 
 def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, class_id) of every row, and the links (a, b, sim) between documents of different texts."""
+    """(doc_id, key, class_id) of every row, and the links (a, b, sim) found between documents of different texts: they join
+    each class, but not all pairs of a class are compared."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return _classes(spark, docs)
     # an id may stand on several texts: each (doc_id, text) is a document
-    rows = _numbered(spark, docs)
-    out, links = _classes(spark, rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_number")).alias("doc_id"), "text"))
-    ids = rows.filter(F.col("doc_id").isNotNull()).select("_number", "doc_id").distinct()
-    name = lambda df, c: df.withColumnRenamed(c, "_n").join(ids.withColumnRenamed("doc_id", c), F.col("_n") == F.col("_number"), "left").drop("_n", "_number")
+    rows, number = _numbered(spark, docs)
+    out, links = _classes(spark, rows.select(F.when(F.col("doc_id").isNotNull(), F.col(number)).alias("doc_id"), "text"))
+    ids = rows.filter(F.col("doc_id").isNotNull()).select(number, "doc_id").distinct()
+    name = lambda df, c: df.withColumnRenamed(c, "_n").join(ids.withColumnRenamed("doc_id", c), F.col("_n") == F.col(number), "left").drop("_n", number)
     return name(name(out, "doc_id"), "class_id").select("doc_id", "key", "class_id"), name(name(links, "a"), "b").select("a", "b", "sim")
 
 
@@ -282,48 +454,43 @@ def _classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame
     marks = saved(spark, docs.mapInArrow(_signatures(weigh), "doc_id long, key binary, total double, bands array<long>"), "marks")
     # equal texts: the smallest doc_id stands for them
     firsts = saved(spark, marks.filter(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "firsts")
-    members = firsts.select("id", "total", F.posexplode("bands").alias("band", "bucket"))
-    # each band draws its own heads, so that a group's members meet several of it
-    order = F.struct(F.xxhash64("id", "band"), "id")
-    heads = members.groupBy("band", "bucket").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = saved(spark, members.join(heads, ["band", "bucket"]).select("band", "bucket", "id", "total", F.col("head.id").alias("a")), "members")
-    pairs = joined.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = _similarities(spark, pairs, docs, weigh, "stars")
-    # what is unlike its bucket's first member meets the others that the bounds allow
-    known = joined.join(stars, (joined.a == stars.a) & (joined.id == stars.b), "left").select("band", "bucket", "id", "total", F.when(joined.id == joined.a, 0.0).otherwise(1 - F.col("sim")).alias("d"))
-    far = 1 - SIMILARITY + _EPS
-    bin_ = F.floor(F.log("total") / F.log(F.lit(1 / SIMILARITY)))
-    labels = components(spark, stars.filter(F.col("sim") >= SIMILARITY))
-    known = saved(spark, known.join(labels, F.col("id") == F.col("node"), "left").select("band", "bucket", "id", "total", "d", F.coalesce("label", "id").alias("comp")), "known")
-    odd = known.filter(F.col("d") > far).select("band", "bucket", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("d").alias("db"), bin_.alias("bin"), F.col("comp").alias("cb"))
-    links = stars
-    if odd.limit(1).count():
-        with_odd = odd.select("band", "bucket").distinct()
-        other = known.join(with_odd, ["band", "bucket"], "left_semi").select("band", "bucket", F.col("id").alias("a"), F.col("total").alias("ta"), F.col("d").alias("da"), F.col("comp").alias("ca"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
-        bounded = (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & (F.least("ta", "tb") >= (SIMILARITY - _EPS) * F.greatest("ta", "tb")) & (F.col("a") != F.col("b")) & ((F.col("da") <= far) | (F.col("a") < F.col("b")))
-        rest = odd.join(other, ["band", "bucket", "bin"]).filter(bounded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = saved(spark, rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            links = stars.unionByName(_similarities(spark, rest, docs, weigh, "others"))
-    links = links.filter(F.col("sim") >= SIMILARITY)
-    labels = components(spark, links)
+    rows = firsts.select("id", "total", F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    rows = saved(spark, rows.join(shared, _KEY), "members")
+    ids = saved(spark, rows.select("id").distinct(), "ids")
+    texts = docs.join(broadcast_if_small(ids), docs.doc_id == ids.id).select("doc_id", "text")
+    shingles = saved(spark, texts.mapInArrow(_weighted(weigh), "id long, h binary, w binary").dropDuplicates(["id"]), "shingles")
+    links = _Links(spark, shingles)
+    for turn in range(STARS):
+        links.compare(_star(links.labelled(rows), turn, False))
+    known = links.labelled(rows)
+    open_ = saved(spark, _open(known), "open")
+    links.compare(_across(known, open_.filter(F.col("n") <= WIDE), False))
+    wide = open_.filter(F.col("n") > WIDE)
+    if wide.limit(1).count():
+        hot = saved(spark, rows.join(broadcast_if_small(wide.select(*_KEY)), _KEY, "left_semi").select("id", "total").distinct(), "wide")
+        _fine(spark, links, hot)
+        drop(spark, hot)
+    drop(spark, rows, ids, shingles, open_)
+    labels = links.labels if links.labels is not None else spark.createDataFrame([], "node long, label long")
     classes = firsts.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", F.coalesce("label", "id").alias("class_id"))
     known_ids = F.col("doc_id").isNotNull()
     out = marks.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "key", F.when(known_ids, F.col("class_id")).alias("class_id"))
-    return out, links
+    return out, links.alike()
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Keeps the first document of each class, a row each; all of docs' columns. Rows are told apart by doc_id and text, so
     that different texts of one id stay; a row with a null doc_id goes if it is a copy, after all others in order."""
     if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
-        rows, key = _numbered(spark, docs), "_number"
+        rows, key = _numbered(spark, docs)
     else:
         rows, key = docs, "doc_id"
+    name = fresh(rows, "gone_id")
     classes, _ = _classes(spark, rows.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    gone = saved(spark, classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = rows.join(broadcast_if_small(gone), F.col(key).cast("long") == F.col("gone_id"), "left_anti")
-    return kept.dropDuplicates(["_number"]).select(*docs.columns) if key == "_number" else kept
+    gone = saved(spark, classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = rows.join(broadcast_if_small(gone), F.col(key).cast("long") == F.col(name), "left_anti")
+    return kept if key == "doc_id" else kept.dropDuplicates([key]).select(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
