@@ -6,7 +6,7 @@ of the labelled rows (fixed numbers; every language of the at most TRAIN rows is
 text is then scored whole, by products of presence matrices.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if there is nothing to learn from.
-Null labels are not learned. Repeated rows are scored alike; other columns are ignored.
+Null labels are not learned; of several texts of one doc_id the first in order is. Repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .words import LOWER, utf8
+from .words import LOWER, blocks, release, utf8
 
 NS, WIDTH, LANDMARKS, TRAIN, RIDGE, UND = (1, 2, 3), 1 << 13, 192, 1600, 1e-3, "und"
 _STEP, _LETTER = 128, np.zeros(256, bool)
@@ -29,9 +29,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Unit rows: which n-grams each text has."""
     out = np.zeros((len(off) - 1, WIDTH), np.float32)
-    low = LOWER[data].astype(np.uint32)
     for i in range(len(off) - 1):
-        x, row = low[off[i] : off[i + 1]], out[i]
+        x, row = LOWER[data[off[i] : off[i + 1]]].astype(np.uint32), out[i]
         code = np.zeros(len(x), np.uint32)
         for n in range(1, max(NS) + 1):
             if len(x) < n:
@@ -76,38 +75,47 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
 
 def _letterless(texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which texts are null or have no letter."""
-    total = np.concatenate([[0], np.cumsum(_LETTER[data])]) if len(data) else np.zeros(1, np.int64)
-    out = total[off[1:]] == total[off[:-1]]
+    out = np.ones(len(off) - 1, bool)
+    for a, b in blocks(off):
+        total = np.concatenate([[0], np.cumsum(_LETTER[data[off[a] : off[b]]], dtype=np.int32)])
+        out[a:b] = total[off[a + 1 : b + 1] - off[a]] == total[off[a:b] - off[a]]
     for i in np.flatnonzero(out):
         out[i] = not any(c.isalpha() for c in texts[int(i)].as_py() or "")
     return out
 
 
+def _predicted(model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    data, off = utf8(texts)
+    n = len(off) - 1
+    lang, score = np.full(n, UND, object), np.zeros(n)
+    if model is not None:
+        names, z, w = model
+        for a in range(0, n, _STEP):
+            b = min(n, a + _STEP)
+            f = (presence(data[off[a] : off[b]], off[a : b + 1] - off[a]) @ z.T).astype(np.float64) @ w[:-1] + w[-1]
+            best = f.argmax(1)
+            lang[a:b] = np.array(names, object)[best]
+            score[a:b] = np.clip((f[np.arange(b - a), best] + 1) / 2, 0, 1)
+    bare = _letterless(texts, data, off)
+    lang[bare], score[bare] = UND, 0.0
+    return lang, score
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column("text"))
-            n = len(off) - 1
-            lang, score = np.full(n, UND, object), np.zeros(n)
-            if model is not None:
-                names, z, w = model
-                for a in range(0, n, _STEP):
-                    b = min(n, a + _STEP)
-                    f = (presence(data[off[a] : off[b]], off[a : b + 1] - off[a]) @ z.T).astype(np.float64) @ w[:-1] + w[-1]
-                    best = f.argmax(1)
-                    lang[a:b] = np.array(names, object)[best]
-                    score[a:b] = np.clip((f[np.arange(b - a), best] + 1) / 2, 0, 1)
-            bare = _letterless(batch.column("text"), data, off)
-            lang[bare], score[bare] = UND, 0.0
+            lang, score = _predicted(model, batch.column("text"))
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            release()
 
     return run
 
 
 def learn(docs: DataFrame, label: str = "lang"):
     top = sample(docs, label, TRAIN)
-    rows = docs.select("doc_id", "text").join(F.broadcast(top), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()  # at most TRAIN rows
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(top), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("y", "text")).alias("r")).select("doc_id", "r.text", "r.y").collect()  # at most TRAIN rows
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
         by.setdefault(r.y, []).append(r)
@@ -127,17 +135,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(spark, docs, docs)
 
 
-def _keep(model):
-    predict = _predict(model)
+def _kept(model):
+    """Whether a text stays: only texts go to Python, and flags come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.string())
-            if model is None:
-                yield batch.filter(pa.array(~_letterless(texts, *utf8(texts))))
-                continue
-            (out,) = predict(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
-            yield batch.filter(pa.array([x != UND for x in out.column("lang_pred").to_pylist()]))
+    @F.arrow_udf("boolean")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(~_letterless(text, *utf8(text)) if model is None else _predicted(model, text)[0] != UND)
+            release()
 
     return run
 
@@ -145,4 +150,4 @@ def _keep(model):
 def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those that get `und`; all their columns. The model is learned from docs' own text and lang; without one,
     only texts that are null or have no letter go."""
-    return docs.mapInArrow(_keep(learn(docs)), docs.schema)
+    return docs.filter(_kept(learn(docs))(F.col("text").cast("string")))
