@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, broadcast_if_small, saved, table
+from .common import SMALL, broadcast_if_small, fresh, saved, table
 from .words import each
 
 K, COVERAGE = 5, 0.8
@@ -123,18 +123,20 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the contaminated ones; a row with a null doc_id is a document of its own, under a number made for this stage."""
+    """docs without the contaminated ones, with all their columns; a row with a null doc_id is a document of its own, under a number made for this stage."""
     named = _clean(spark, docs, "doc_id", benchmark, coverage)
     if not docs.filter(F.col("doc_id").isNull()).limit(1).count():
         return named
-    rows = saved(spark, docs.filter(F.col("doc_id").isNull()).withColumn("_row", F.monotonically_increasing_id()), "unnamed")
-    return named.filter(F.col("doc_id").isNotNull()).unionByName(_clean(spark, rows, "_row", benchmark, coverage).select(*docs.columns))
+    number = fresh(docs, "row_number")
+    rows = saved(spark, docs.filter(F.col("doc_id").isNull()).withColumn(number, F.monotonically_increasing_id()), "unnamed")
+    return named.filter(F.col("doc_id").isNotNull()).unionByName(_clean(spark, rows, number, benchmark, coverage).select(*docs.columns))
 
 
 def _clean(spark: SparkSession, rows: DataFrame, key: str, benchmark: DataFrame, coverage: float) -> DataFrame:
     texts = rows.select(F.col(key).cast("long").alias("doc_id"), "text")
-    bad = saved(spark, contaminated(spark, texts, benchmark, coverage).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return rows.join(broadcast_if_small(bad), F.col(key).cast("long") == F.col("bad_id"), "left_anti")
+    name = fresh(rows, "bad_id")
+    bad = saved(spark, contaminated(spark, texts, benchmark, coverage).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return rows.join(broadcast_if_small(bad), F.col(key).cast("long") == F.col(name), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved, table
+from .common import broadcast_if_small, fresh, saved, table
 
 WEIGHTS, SHARE, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 _EPS = 1e-9
@@ -98,9 +98,9 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     done, level = [], 0
     while True:
         # as many blocks as the source's open units fill; the last level has one a source and lands it
-        left = rows.groupBy("source").agg(F.count(F.lit(1)).alias("open")).select(F.col("source").alias("s"), F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks"))
+        left = saved(spark, rows.groupBy("source").agg(F.count(F.lit(1)).alias("open")).select(F.col("source").alias("s"), F.ceil(F.col("open") / BLOCK).cast("int").alias("blocks")), "left")
         block = F.pmod(F.xxhash64("o", "doc_id", F.lit(level)), F.col("blocks")).cast("int")
-        dealt = rows.join(F.broadcast(left), rows.source.eqNullSafe(left.s)).withColumn("block", block).withColumn("last", F.col("blocks") == 1).select(*cols, "block", "last")
+        dealt = rows.join(broadcast_if_small(left), rows.source.eqNullSafe(left.s)).withColumn("block", block).withColumn("last", F.col("blocks") == 1).select(*cols, "block", "last")
         schema = schema or dealt.schema
         flown = saved(spark, dealt.groupBy("source", "block").applyInPandas(_fly(level), schema), "flown")
         still = F.col("p").between(_EPS, 1 - _EPS)
@@ -115,11 +115,13 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with each row as often as it is taken."""
-    plan = saved(spark, mix(spark, docs).filter("times > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "times"), "mix")
-    sized = docs.withColumn("m_words", word_count())
-    at = F.col("doc_id").cast("long").eqNullSafe(F.col("m_id")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size"))
-    return sized.join(broadcast_if_small(plan), at).withColumn("m_time", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    """docs with each row as often as it is taken; all of docs' columns, whatever their names."""
+    names = [fresh(docs, c) for c in ("mix_id", "mix_source", "mix_size", "mix_times", "mix_words")]
+    m_id, m_source, m_size, times, words = names
+    plan = saved(spark, mix(spark, docs).filter("times > 0").select(F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("size").alias(m_size), F.col("times").alias(times)), "mix")
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(m_id)) & F.col("source").cast("string").eqNullSafe(F.col(m_source)) & (F.col(words) == F.col(m_size))
+    met = docs.withColumn(words, word_count()).join(broadcast_if_small(plan), at)
+    return met.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

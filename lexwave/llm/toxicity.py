@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> np.ndarra
     part = known.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(3))).withColumn("part", F.pmod("o", F.lit(64)))
     top = part.withColumn("r", F.row_number().over(Window.partitionBy("y", "part").orderBy("o", "doc_id"))).filter(F.col("r") <= TRAIN)
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("o", "doc_id"))).orderBy("r", "y").limit(TRAIN)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(top.select("doc_id", "y")), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most TRAIN rows
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(top.select("doc_id", "y")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()  # at most TRAIN rows
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [int(r.y) for r in rows])
 

@@ -1,20 +1,23 @@
 """Each operator on a small table with every odd case, against plain Python where SQL can't express it."""
 
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexwave.llm import ann, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, preferences, token_store, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, a int, label int, id string, p double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, a int, label int, id string, p double, mix_words long, times int, bad_id long, gone_id long, number long, row string, uid long, row_number long, n_words int, size int, h string"
 
 
 def docs(spark, texts, langs=None, sources=None):
-    out = [(i if t != "no id" else None, t, (langs or {}).get(i, "en"), (sources or {}).get(i, "s"), len(t or ""), "k", 1, 0, "x", 0.5) for i, t in enumerate(texts)]
+    out = [(i if t != "no id" else None, t, (langs or {}).get(i, "en"), (sources or {}).get(i, "s"), len(t or ""), "k", 1, 0, "x", 0.5, 7, 7, i, i, 0, "r", 0, 0, 1, 2, "h") for i, t in enumerate(texts)]
     return spark.createDataFrame(out, SCHEMA)
 
 
@@ -55,12 +58,13 @@ def test_toxicity(spark, odd, none):
 
 
 def test_token_store(spark, odd, none):
-    enc = token_store.Encoder(token_store.tokenizer_path())
+    plain = Tokenizer.from_file(token_store.tokenizer_path())
+    odd = odd.union(docs(spark, ["a <|endoftext|> b", "it's 42's '<|end x|>'s", "tab\tand\x1cmore \x85 (x)'ll"]))
     got = sorted(token_store.token_store(spark, odd).collect(), key=lambda r: r.start)
     at = 0
     want = Counter()
     for r in odd.collect():
-        ids = enc.tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [2]
         want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     for r in got:
@@ -78,11 +82,27 @@ def test_token_store(spark, odd, none):
 def test_encoder_pieces():
     import pyarrow as pa
 
-    enc = token_store.Encoder(token_store.tokenizer_path())
-    texts = ["", " a", "a ", "foo  bar", "x\ny", "x\n\ny", "end.\n", "hi, there. ok", "don't", "e.g., a.b,", "<|endoftext|> x", "ünï. é", "\t t", "3.5, 4,", "A,", "...", "!!, a!!,", "a\x01b", ",a", "\n", "a.\nb,c\n d", "x y ,z"]
+    enc, plain = token_store.Encoder(token_store.tokenizer_path()), Tokenizer.from_file(token_store.tokenizer_path())
+    texts = ["", "a<|endoftext|>b, c", "(a) b's 'll x'll 'd'", "1a2 a1 _x -- ab-cd", "a\x0bb \x0c c\x1c", "² ½ a² 1²", "ǅ ʰ a\u0301 ١٢ 中文 x中 中1", "\x85 a\x85b", " a", "a ", "foo  bar", "x\ny", "x\n\ny", "end.\n", "hi, there. ok", "don't", "e.g., a.b,", "<|endoftext|> x", "ünï. é", "\t t", "3.5, 4,", "A,", "...", "!!, a!!,", "a\x01b", ",a", "\n", "a.\nb,c\n d", "x y ,z"]
     ids, off = enc(pa.array(texts))
     for i, t in enumerate(texts):
-        assert ids[off[i] : off[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
+        assert ids[off[i] : off[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoder_random():
+    """Random joins of awkward parts, the cache cleared now and then, against the untouched tokenizer."""
+    import pyarrow as pa
+
+    enc, plain = token_store.Encoder(token_store.tokenizer_path()), Tokenizer.from_file(token_store.tokenizer_path())
+    rng = random.Random(5)
+    parts = ["word", " ", "  ", "\n", ",", ".", "'s", "'", "12", "é", "中", "x1", "\t", "-", "\u00a0", "<|endoftext|>", "$", "ʼ", "\r\n", "Ab", "\x01", "'LL", "\u2028", "٣"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(100)]
+        ids, off = enc(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        if rng.random() < 0.2:
+            enc.clear()
 
 
 def test_line_dedup(spark, odd, none):
@@ -94,6 +114,24 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.line_dedup(spark, none).count() == 0
 
 
+def test_line_dedup_layout(spark, tmp_path):
+    """The plan made under one split of the input, the result read under another; with unique and with repeated doc_ids."""
+    texts = [f"{sentence(i % 40, 6)}\n{sentence(100 + i, 6)}\n{sentence(i % 40, 5)}x" for i in range(400)]
+    for k, rows in enumerate((docs(spark, texts), docs(spark, texts).withColumn("doc_id", F.col("doc_id") % 150))):
+        rows.repartition(12).write.parquet(path := f"{tmp_path}/{k}")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            want = Counter(map(tuple, line_dedup.line_dedup(spark, spark.read.parquet(path)).collect()))
+            spark.conf.set("spark.sql.files.minPartitionNum", "8")
+            planned = line_dedup.line_dedup(spark, spark.read.parquet(path))
+            spark.conf.set("spark.sql.files.minPartitionNum", "3")
+            got = Counter(map(tuple, planned.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sum(r[3] for r in got.elements()) == 360 + 360 and (k or got == want)
+
+
 def test_line_dedup_brute_force(spark):
     rng = random.Random(7)
     seeds = ["aabbaabbaa", "abababababab", "ääßß€€öö", "line with words", "aaaaaaaaaaaa"]
@@ -103,6 +141,7 @@ def test_line_dedup_brute_force(spark):
         return rng.choice([s, s[:i] + s[i + 1 :], s[:i] + c + s[i + 1 :], s[:i] + c + s[i:]])
 
     texts = ["\n".join(edited(edited(rng.choice(seeds))) for _ in range(rng.randrange(1, 5))) for _ in range(120)]
+    texts += ["\n".join("".join(rng.choices("abc", k=rng.randrange(1, 7))) for _ in range(3)) for _ in range(40)]
 
     def near(a, b):
         if len(a) > len(b):
@@ -111,17 +150,18 @@ def test_line_dedup_brute_force(spark):
             return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
         return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
-    seen, want = [], {}
-    for i, t in enumerate(texts):
-        keep = []
-        for s in t.split("\n"):
-            x = s.strip(" ")
-            if not any(x == y or min(len(x), len(y)) >= line_dedup.MIN and near(x, y) for y in seen):
-                keep.append(s)
-            seen.append(x)
-        want[i] = "\n".join(keep)
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, docs(spark, texts)).collect()}
-    assert got == want and len({*want.values()}) > 20
+    for least in (line_dedup.MIN, 0):
+        seen, want = [], {}
+        for i, t in enumerate(texts):
+            keep = []
+            for s in t.split("\n"):
+                x = s.strip(" ")
+                if not any(x == y or min(len(x), len(y)) >= least and near(x, y) for y in seen):
+                    keep.append(s)
+                seen.append(x)
+            want[i] = "\n".join(keep)
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, docs(spark, texts), least).collect()}
+        assert got == want and len({*want.values()}) > 20
 
 
 def test_language_id(spark, odd, none):
@@ -167,6 +207,22 @@ def test_license_scan(spark, odd, none):
     assert license_scan.license_scan(spark, none).count() == 0
 
 
+def test_license_scan_brute_force(spark):
+    rng = random.Random(11)
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    parts = ["CC", "by", "cc-BY", "All", "rights", "Reserved.", "general", "public", "license", "é", "x\n", "ALL RIGHTS RESERVED", "\u2028", "-", "general  public\tLicense"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(200)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark, docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        hits = [(at, name) for p, name in phrases.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(hits), ",".join(sorted({n for _, n in hits})))
+        assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
+        assert {n for _, n in hits} <= set(r.labels.split(","))
+
+
 def test_near_dedup(spark, odd, none):
     base = [sentence(i, 120) for i in range(12)]
     texts = []
@@ -189,6 +245,37 @@ def test_near_dedup(spark, odd, none):
     assert near_dedup.near_dedup(spark, none).count() == 0
 
 
+def weighted_classes(texts):
+    """Components of weighted Jaccard similarity 0.8 or more over all pairs, in plain Python."""
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    df, n = Counter(s for b in bags for s in b), len(texts)
+    weigh = lambda s: 1 + near_dedup.DAMP / math.log(1 / near_dedup.RARE) * math.log(min(n / df[s], 1 / near_dedup.RARE))
+    bags = [{s: c * weigh(s) for s, c in b.items()} for b in bags]
+    total, label = [sum(b.values()) for b in bags], list(range(n))
+
+    def find(i):
+        return i if label[i] == i else find(label[i])
+
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(w, bags[j].get(s, 0)) for s, w in bags[i].items())
+            if both / (total[i] + total[j] - both) >= 0.8:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(n)}
+
+
+def test_near_dedup_wide(spark, monkeypatch):
+    """A loose group: most pairs 0.5 to 0.9 alike, in buckets of many documents, with repeated shingles."""
+    monkeypatch.setattr(near_dedup, "WIDE", 4)
+    rng, passage = random.Random(4), sentence(900, 100).split()
+    texts = [" ".join(passage[: rng.randrange(80, 100)] + sentence(9000 + i, rng.randrange(2, 30)).split() + passage[:6] * rng.randrange(2)) for i in range(140)]
+    want = weighted_classes(texts)
+    out, _ = near_dedup.near_classes(spark, docs(spark, texts))
+    got = {r.doc_id: r.class_id for r in out.collect()}
+    assert got == want and 20 < len({*want.values()}) < 130
+
+
 def test_near_dedup_ids(spark):
     a, b, c, d = (sentence(7000 + i, 80) for i in range(4))
     near = " ".join(a.split()[:-3])
@@ -297,6 +384,41 @@ def test_null_ids(spark):
     assert Counter(map(tuple, deduped.collect())) == Counter([(3, other), (1, sentence(2)), (None, None)])
 
 
+def naive_tiles(item, text, k):
+    """Greedy string tiling by the definition: the longest match of unmarked words, first in item, then in text, again and again."""
+    in_item, in_text, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(text)):
+                n = 0
+                while i + n < len(item) and d + n < len(text) and item[i + n] == text[d + n] and i + n not in in_item and d + n not in in_text:
+                    n += 1
+                best = max(best, (n, -i, -d))
+        n, i, d = best[0], -best[1], -best[2]
+        if n < k:
+            return out
+        out.append((i, d, n))
+        in_item.update(range(i, i + n))
+        in_text.update(range(d, d + n))
+
+
+def test_decontaminate_brute_force(spark):
+    rng = random.Random(6)
+    items = [rng.choices("abcd", k=rng.randrange(6, 14)) for _ in range(6)] + [list("aaaaaaaa"), list("abababab")]
+    texts = []
+    for _ in range(60):
+        parts = [x[a:] for x in items for a in [rng.randrange(6)] if rng.random() < 0.4] + [rng.choices("abcde", k=rng.randrange(8)), ["a"] * rng.randrange(12)]
+        rng.shuffle(parts)
+        texts.append([w for p in parts for w in p])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tiles, r.covered) for r in decontaminate.matches(spark, docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            tiles = naive_tiles(x, t, decontaminate.K)
+            assert got.get((d, i), (0, 0)) == (len(tiles), sum(n for _, _, n in tiles)), (d, i)
+
+
 def test_tiles():
     assert sorted(decontaminate.tiles([(0, 10, 5), (1, 11, 5), (0, 30, 5)])) == [(0, 10, 6)]
     assert sorted(t[2] for t in decontaminate.tiles([(0, 7, 5), (1, 8, 5), (6, 0, 5), (7, 1, 5)])) == [6, 6]
