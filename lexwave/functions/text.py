@@ -69,13 +69,66 @@ def stage(text: Column) -> Column:
     return F.when(has_any(F.lower(text), ["revenge", "sharp"]), "ACTUALIZING").otherwise("EMERGENT")
 
 
-def split_terms(text: Column) -> tuple[Column, Column]:
-    """(terms, other words) of a query: at each word the longest lexicon phrase that ends at a blank."""
+def _split(text: Column) -> tuple[Column, Column]:
+    """(parts, lexicon) of a query: at each word the longest lexicon phrase that ends at a blank, or else the word."""
     one = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     alternatives = "|".join(re.escape(t).replace(r"\ ", " ").replace(r"\-", "-") for t in sorted(X.terms(), key=lambda t: (-len(t), t)))
-    parts = F.regexp_extract_all(one, F.lit(f"({alternatives}|[^ ]+)(?: |$)"), F.lit(1))
-    known = F.array(*map(F.lit, X.terms()))
-    return F.array_distinct(F.filter(parts, lambda p: F.array_contains(known, p))), F.filter(parts, lambda p: ~F.array_contains(known, p))
+    return F.regexp_extract_all(one, F.lit(f"({alternatives}|[^ ]+)(?: |$)"), F.lit(1)), F.array(*map(F.lit, X.terms()))
+
+
+def split_matched(text: Column) -> Column:
+    """The lexicon terms of a query in order, repeats included."""
+    parts, known = _split(text)
+    return F.filter(parts, lambda p: F.array_contains(known, p))
+
+
+def split_terms(text: Column, min_unknown: int = 3) -> tuple[Column, Column]:
+    """(terms, other words of min_unknown characters or more) of a query, each once."""
+    parts, known = _split(text)
+    return F.array_distinct(split_matched(text)), F.array_distinct(F.filter(parts, lambda p: ~F.array_contains(known, p) & (F.length(p) >= min_unknown)))
+
+
+def norm_key(form: Column) -> Column:
+    """A surface form without case and doubled blanks."""
+    return F.lower(F.trim(F.regexp_replace(form, r"\s+", " ")))
+
+
+def typology_tags(primary: Column, scores: Column, family: Column, drivers: Column, stage_: Column) -> Column:
+    """Primary typology, others of 0.45 or more (best first), lineage, drivers and stage; eight at most."""
+    some = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
+    others = F.transform(F.filter(scores, lambda t: t["s"] >= 0.45), lambda t: t["id"])
+    tags = F.concat(some(F.when(primary != "one_off", primary)), others, some(F.when(family.isNotNull(), F.concat(F.lit("lineage:"), family))), drivers, some(F.when(stage_.isin("ACTUALIZING", "EMERGENT"), F.concat(F.lit("hyperstition_"), F.lower(stage_)))))
+    tags = F.array_distinct(tags)
+    return F.when(F.size(tags) == 0, F.array(F.lit("imitation_spread"))).otherwise(F.slice(tags, 1, 8))
+
+
+def propagation(family: Column, community: Column, source: Column) -> Column:
+    """Platforms of a family, a community and a source; six at most."""
+    known = F.create_map(*[x for f, ps in X.PLATFORMS.items() for x in (F.lit(f), F.array(*map(F.lit, ps)))])
+    rest = F.array(F.when(community.contains("ai") | community.contains("machine"), "ai_tech"), F.when(F.lower(source).isin("x_search", "social", "live"), "x_twitter"))
+    return F.slice(F.array_distinct(F.concat(F.coalesce(known[family], F.array(F.lit("x_twitter"))), F.filter(rest, lambda x: x.isNotNull()))), 1, 6)
+
+
+def integrity_header(source: Column, stage_: Column) -> dict[str, Column]:
+    elevated = F.coalesce(stage_.isin("ACTUALIZING", "EMERGENT"), F.lit(False))
+    return {
+        "status": F.when(elevated, "PARTIAL").otherwise("PASS"), "entropy_class": F.when(elevated, "high").otherwise("medium"), "risk_band": F.when(elevated, "elevated").otherwise("baseline"),
+        "provenance": F.concat(F.lit("ingest="), F.coalesce(source, F.lit("unknown")), F.lit(";stage="), F.coalesce(stage_, F.lit("none"))),
+    }
+
+
+def action_hints(tier: Column, stage_: Column) -> Column:
+    always, busy, loop, quiet = X.HINTS[:2], *X.HINTS[2:]
+    out = F.array(*map(F.lit, always), F.when(tier.isin("ELEVATED", "CRITICAL"), busy), F.when(stage_ == "ACTUALIZING", loop), F.when(tier == "LOW", quiet))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
+def planned_queries(seed: Column, most: Column) -> Column:
+    """A scan's queries: the seed's own terms (or itself) that the default list's head lacks, then that head; most in all."""
+    terms = F.array_distinct(split_matched(seed))
+    atoms = F.when(F.size(terms) > 0, terms).otherwise(F.filter(F.array(F.trim(seed)), lambda x: x != ""))
+    head = F.slice(F.array(*map(F.lit, X.DEFAULT_QUERIES)), F.lit(1), most)
+    return F.slice(F.concat(F.filter(atoms, lambda a: ~F.array_contains(head, F.lower(a))), head), F.lit(1), most)
 
 
 def neologisms(text: Column) -> Column:
@@ -152,8 +205,8 @@ def predict(hybrid: Column, velocity: Column, acceleration: Column, lineage: Col
     return {"predicted": predicted, "predicted_confidence": conf, "delta": rounded(predicted - hybrid, 3)}
 
 
-def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, memetic: Column, peak: Column | None = None, reach: Column | None = None, rate: Column | None = None, cascade: Column | None = None) -> dict[str, Column]:
-    """Weighted mean of the drivers that are present; the tier by cuts."""
+def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, memetic: Column, peak: Column | None = None, reach: Column | None = None, rate: Column | None = None, cascade: Column | None = None) -> Column:
+    """Weighted mean of the drivers that are present."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     vh = unit(F.coalesce(hybrid, F.lit(0.0)))
     rows = [
@@ -163,8 +216,17 @@ def risk(stage_: Column, hybrid: Column, predicted: Column, lineage: Column, mem
     rows += [(w, F.when(c.isNotNull(), unit(c))) for w, c in ((0.12, peak), (0.08, reach), (0.08, rate)) if c is not None]
     rows += [(0.10, F.when(cascade, 1.0).when(~cascade, 0.15))] if cascade is not None else []
     total = sum((F.when(v.isNotNull(), w).otherwise(0.0) for w, v in rows), F.lit(0.0))
-    score = rounded(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
-    return {"risk": score, "tier": F.when(score >= 0.75, "CRITICAL").when(score >= 0.55, "ELEVATED").when(score >= 0.35, "MODERATE").otherwise("LOW")}
+    return rounded(F.least(F.lit(0.98), sum((F.coalesce(w * v, F.lit(0.0)) for w, v in rows), F.lit(0.0)) / total), 3)
+
+
+def risk_tier(score: Column) -> Column:
+    return F.when(score >= 0.75, "CRITICAL").when(score >= 0.55, "ELEVATED").when(score >= 0.35, "MODERATE").otherwise("LOW")
+
+
+def policy(tier: Column) -> dict[str, Column]:
+    """cron, hours, max_queries and source of a tier; a lookup, for a join on a computed column would copy it into filters."""
+    pick = lambda at: F.create_map(*[F.lit(x) for row in X.TIERS for x in (row[0], row[at])])[tier]
+    return {name: pick(at) for at, name in enumerate(("cron", "hours", "max_queries", "source"), 1)}
 
 
 def level(x: Column) -> Column:

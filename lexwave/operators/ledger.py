@@ -22,19 +22,26 @@ def linked(log: DataFrame, chain: str, seq: str, body: Column) -> DataFrame:
     return rows.withColumn("prev_hash", F.lag("body_hash", 1, GENESIS).over(Window.partitionBy(chain).orderBy(seq)))
 
 
-def append_chain(log: DataFrame, chain: str, seq: str, body: str) -> DataFrame:
-    """record_hash = sha256(prev_hash | body), in order of seq within each chain: sequential in a chain, parallel over chains."""
+def append_chain(log: DataFrame, chain: str, seq: str, body: str, tips: DataFrame | None = None) -> DataFrame:
+    """record_hash = sha256(prev_hash | body), in order of seq within each chain: sequential in a chain, parallel over chains.
+    tips: (chain, tip) of chains that go on from an earlier record."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, out = GENESIS, []
         pdf = pdf.sort_values(seq)
+        prev, out = pdf["_tip"].iloc[0] or GENESIS, []
         for x in pdf[body]:
             out.append((prev, hashlib.sha256(f"{prev}|{x}".encode()).hexdigest()))
             prev = out[-1][1]
-        return pdf.assign(prev_hash=[a for a, _ in out], record_hash=[b for _, b in out])
+        return pdf.assign(prev_hash=[a for a, _ in out], record_hash=[b for _, b in out]).drop(columns="_tip")
 
     schema = log.schema.simpleString()[7:-1] + ",prev_hash:string,record_hash:string"
-    return log.groupBy(chain).applyInPandas(run, schema)
+    known = log.withColumn("_tip", F.lit(None).cast("string")) if tips is None else log.join(tips.withColumnRenamed("tip", "_tip"), chain, "left")
+    return known.groupBy(chain).applyInPandas(run, schema)
+
+
+def tips(log: DataFrame, chain: str, seq: str) -> DataFrame:
+    """(chain, tip, last): each chain's last record hash and its seq."""
+    return log.groupBy(chain).agg(F.max_by("record_hash", seq).alias("tip"), F.max(seq).alias("last"))
 
 
 def verify_chain(log: DataFrame, chain: str, seq: str, body: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,45 @@ def family_boosts(found: DataFrame, cap: float = 0.12, by: list[str] | None = No
     return found.groupBy(*by, "label").agg(F.sum("score").alias("s")).withColumn("boost", cap * F.col("s") / F.max("s").over(Window.partitionBy(*by))).drop("s")
 
 
+#: Rows of one label that are compared at once with as many others.
+BLOCK_ROWS = 2048
+
+
 def label_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.08) -> DataFrame:
-    a = vectors.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "label").filter("a <> b").withColumn("score", dot(F.col("va"), F.col("vb"))).filter(F.col("score") >= least).select("label", "a", "b", "score")
+    """The k nearest of each vector within its label, exactly. A label's rows are dealt into blocks; each pair of blocks is one
+    matrix product that hands on k rows a vector, so that no pair is written out and a large label is many tasks."""
+
+    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, y = (np.stack([np.asarray(v, np.float64) for v in df["v"]]) for df in (left, right))
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            order = np.argsort(b, kind="stable")
+            y, b = y[order], b[order]
+            score = x @ y.T
+            score[a[:, None] == b[None]] = -np.inf
+            for i, row in enumerate(score):
+                top = np.flatnonzero(row >= max(least, np.partition(row, -min(k, len(row)))[-min(k, len(row))]))
+                top = top[np.argsort(-row[top], kind="stable")][:k]
+                out += [(key[0], a[i], b[j], row[j]) for j in top]
+        return pd.DataFrame(out, columns=["label", "a", "b", "score"])
+
+    rows = vectors.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    counts = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("label", F.col("own").alias("i"), others.alias("j"), "id", "v")
+    right = dealt.select(F.col("label").alias("label"), others.alias("i"), F.col("own").alias("j"), F.col("id").alias("id"), F.col("v").alias("v"))
+    key = ["label", "i", "j"]
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"label {dict(vectors.dtypes)['label']}, a long, b long, score double")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= k)
 
 
+def neighbour_edges(found: DataFrame) -> DataFrame:
+    """Neighbours without direction, each edge once, with its larger score."""
+    return found.groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The latest version of each key of both."""
     rows = table.unionByName(new)
@@ -52,23 +85,66 @@ def vector_id(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(F.concat(F.lit(f"{kind}:"), key), 256), 1, 24))
 
 
-def hashed(text: str, dim: int = 256) -> np.ndarray:
-    """Words, their two-letter ends, and letter trigrams, hashed into dim places; unit length."""
-    text = (text or "").lower().strip()
-    out = np.zeros(dim)
-    if not text:
-        return out
-    put = lambda token, w: out.__setitem__(i := int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little") % dim, out[i] + w)
-    for w in text.split():
-        put(w, 1.0)
-        if len(w) >= 2:
-            put(w[:2] + "#", 0.5)
-            put("#" + w[-2:], 0.5)
-    padded = f"^{' '.join(''.join(c if c.isalnum() else ' ' for c in text).split())}$"
-    for i in range(len(padded) - 2):
-        put("c3:" + padded[i : i + 3], 0.35)
-    norm = np.sqrt((out * out).sum())
-    return out / norm if norm else out
+def without_kind(table: DataFrame, kind: str) -> DataFrame:
+    """The table without the rows of a kind; rows without one stay."""
+    return table.filter(~F.col("kind").eqNullSafe(F.lit(kind)))
+
+
+ROW = "id string, kind string, text string, family_id string, model string, embedding array<float>"
+
+
+def export(table: DataFrame, path: str, kind: str | None = None) -> None:
+    """JSON lines, embeddings as they are."""
+    rows = table if kind is None else table.filter(F.col("kind") == kind)
+    rows.write.mode("overwrite").json(path)
+
+
+def sync(table: DataFrame, into: DataFrame) -> DataFrame:
+    """Rows of two stores; where both have an id, the first one's."""
+    return table.unionByName(into.join(table.select("id"), "id", "left_anti"))
+
+
+def seeds(registry: DataFrame, packs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(id, kind, text, family_id, source) of what a store is filled with: the registry's terms, the packs' and receipts. Rows of
+    one id are one row."""
+    own = registry.select(vector_id("term", F.concat("family_id", F.lit(":"), F.lower("term"))).alias("id"), F.lit("term").alias("kind"), F.col("term").alias("text"), "family_id", F.lit("registry").alias("source"))
+    more = packs.select(vector_id("term", F.concat(F.lit("backfill:"), "family_id", F.lit(":"), F.lower("term"))).alias("id"), F.lit("term").alias("kind"), F.col("term").alias("text"), "family_id", F.lit("backfill").alias("source"))
+    text = F.substring(F.trim(F.concat_ws(" ", "query", F.substring("observed", 1, 400), F.replace("matched", F.lit(","), F.lit(" ")))), 1, 2000)
+    kept = receipts.select(vector_id("receipt", F.col("integrity")).alias("id"), F.lit("receipt").alias("kind"), text.alias("text"), F.col("family").alias("family_id"), F.lit("receipt").alias("source"))
+    return own.unionByName(more).unionByName(kept).filter(F.col("text") != "").groupBy("id").agg(F.min(F.struct("kind", "text", "family_id", "source")).alias("r")).select("id", "r.*")
+
+
+def index_rows(analysis: DataFrame) -> DataFrame:
+    """(id, kind, text, family_id): the terms that an analysis adds to a store: those matched, and the query if it is short."""
+    terms = F.slice(F.split(F.coalesce("matched", F.lit("")), ","), 1, 12)
+    short = F.when(F.size(F.split("query", " ")) <= 4, F.array("query")).otherwise(F.array().cast("array<string>"))
+    rows = analysis.select(F.col("family").alias("family_id"), F.explode(F.array_distinct(F.concat(F.filter(terms, lambda t: t != ""), short))).alias("text")).distinct()
+    return rows.select(vector_id("term", F.concat(F.lit("ingest:"), F.coalesce("family_id", F.lit("")), F.lit(":"), F.lower("text"))).alias("id"), F.lit("term").alias("kind"), "text", "family_id")
+
+
+# Weights of a text's words, of their first and last two letters, and of the letter trigrams of all its words.
+_WORD, _EDGE, _TRIGRAM = 1.0, 0.5, 0.35
+
+
+def features(text: str | None) -> list[tuple[str, float]]:
+    """Tokens of a text with their weights."""
+    words = (text or "").lower().split()
+    edges = [e for w in words if len(w) >= 2 for e in (f"{w[:2]}#", f"#{w[-2:]}")]
+    inner = "^" + " ".join(re.findall(r"[^\W_]+", " ".join(words))) + "$" if words else ""
+    trigrams = map("".join, zip(inner, inner[1:], inner[2:], strict=False))
+    return [(w, _WORD) for w in words] + [(e, _EDGE) for e in edges] + [(f"c3:{g}", _TRIGRAM) for g in trigrams]
+
+
+def embeddings(texts: list[str | None], dim: int = 256) -> np.ndarray:
+    """Hashed features of a batch of texts, a row of unit length each (all zero for a text without any). Each distinct token is hashed once."""
+    found = [features(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    flat = [x for f in found for x in f]
+    place = {t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % dim for t in {t for t, _ in flat}}
+    at = row * dim + np.fromiter((place[t] for t, _ in flat), np.int64, len(flat))
+    out = np.bincount(at, np.array([w for _, w in flat], np.float64), len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def embed(rows: DataFrame, text: str, dim: int = 256) -> DataFrame:
@@ -77,6 +153,27 @@ def embed(rows: DataFrame, text: str, dim: int = 256) -> DataFrame:
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: hashed(t, dim).astype(np.float32))
+            yield pd.Series(list(embeddings(batch.tolist(), dim).astype(np.float32)), index=batch.index)
 
     return rows.withColumn("embedding", run(F.col(text)))
+
+
+def text_boosts(rows: DataFrame, key: str, text: str, terms: list[tuple[str, str]], k: int = 8, least: float = 0.12, cap: float = 0.12) -> DataFrame:
+    """(key, family_id, boost) of each text: the k nearest of terms (family, term; a constant list) by hashed embedding, their
+    scores summed by family and scaled so that the largest is cap. Batches of texts are one matrix product with the terms."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y = embeddings([t for _, t in terms]).astype(np.float32).astype(np.float64)
+        families = sorted({f for f, _ in terms})
+        member = np.array([[f == g for g in families] for f, _ in terms], np.float64)
+        for pdf in frames:
+            score = embeddings(pdf["t"].tolist()).astype(np.float32).astype(np.float64) @ y.T
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            kept = np.zeros_like(score)
+            np.put_along_axis(kept, order, np.take_along_axis(score, order, 1), 1)
+            kept[kept < least] = 0
+            mass = kept @ member
+            i, j = np.nonzero(mass)
+            yield pd.DataFrame({key: pdf["k"].to_numpy()[i], "family_id": np.array(families, object)[j], "boost": cap * mass[i, j] / mass.max(1)[i]})
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, family_id string, boost double")

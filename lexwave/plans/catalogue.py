@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +13,10 @@ from lexwave.operators import ledger as G
 from lexwave.operators import lineage as L
 from lexwave.operators import simulate as M
 from lexwave.operators import vectors as V
-from lexwave.plans import oracle
-from lexwave.plans.analysis import analysed, observed
+from lexwave.plans.analysis import analysed, by_query, distinct_observed, observed
 from lexwave.sources import lexicon as X
 from lexwave.sources import signals as S
+from lexwave.sources import store
 from lexwave.streaming import log as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,23 +32,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.candidates(observed(spark, sf_dir), "signal_id", F.col("observed"), L.registry(spark))
+def _candidates(spark: SparkSession, sf_dir: str, min_confidence: float = X.THRESHOLD) -> DataFrame:
+    """Candidates of each distinct query."""
+    return L.candidates(distinct_observed(spark, sf_dir), "query", F.col("observed"), L.registry(spark), min_confidence=min_confidence)
 
 
 @query
 def lineage_best(spark, sf_dir):
-    return L.best(_candidates(spark, sf_dir), "signal_id").select("signal_id", "family_id", "branch_operator", "n_hits", r6("specificity", "specificity"), r6("raw_score", "raw_score"), "confidence", "matched")
+    return by_query(spark, sf_dir, L.best(_candidates(spark, sf_dir), "query")).select("signal_id", "family_id", "branch_operator", "n_hits", r6("specificity", "specificity"), r6("raw_score", "raw_score"), "confidence", "matched")
 
 
 @query
 def lineage_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("signal_id", "family_id", "n_hits", r6("specificity", "specificity"), r6("coverage", "coverage"), "hit_bonus", r6("density", "density"), r6("raw_score", "raw_score"), "confidence")
+    return by_query(spark, sf_dir, _candidates(spark, sf_dir)).select("signal_id", "family_id", "n_hits", r6("specificity", "specificity"), r6("coverage", "coverage"), "hit_bonus", r6("density", "density"), r6("raw_score", "raw_score"), "confidence")
 
 
 @query
 def lineage_strict(spark, sf_dir):
-    return L.candidates(observed(spark, sf_dir), "signal_id", F.col("observed"), L.registry(spark), min_confidence=0.6).select("signal_id", "family_id", "confidence")
+    return by_query(spark, sf_dir, _candidates(spark, sf_dir, 0.6)).select("signal_id", "family_id", "confidence")
 
 
 @query
@@ -72,11 +72,8 @@ def per_term_lineage(spark, sf_dir):
 
 @query
 def term_split(spark, sf_dir):
-    one = F.trim(F.regexp_replace(F.lower("query"), r"\s+", " "))
-    known = F.array(*map(F.lit, X.terms()))
-    alternatives = "|".join(sorted(X.terms(), key=lambda t: (-len(t), t)))
-    parts = F.regexp_extract_all(one, F.lit(f"({alternatives}|[^ ]+)(?: |$)"), F.lit(1))
-    return S.signals(spark, sf_dir).select("signal_id", F.array_join(F.filter(parts, lambda p: F.array_contains(known, p)), "|").alias("matched"))
+    rows = distinct_observed(spark, sf_dir).select("query", F.array_join(T.split_matched(F.col("query")), "|").alias("matched"))
+    return by_query(spark, sf_dir, rows).select("signal_id", "matched")
 
 
 @query
@@ -113,8 +110,8 @@ def hyperstition_stage(spark, sf_dir):
 @query
 def neologisms(spark, sf_dir):
     kind = lambda *names: F.transform(F.filter("neologisms", lambda x: x["formation"].isin(*names)), lambda x: x["term"])
-    rows = observed(spark, sf_dir).withColumn("neologisms", T.neologisms(F.col("observed")))
-    return rows.select("signal_id", F.array_join(F.array_sort(kind("compound_phrase")), ",").alias("phrases"), F.array_join(kind("platform_compression"), ",").alias("stems"), F.array_join(F.array_sort(kind("extra-grammatical", "derivational", "grammatical")), ",").alias("tails"), F.size("neologisms").alias("n_neologisms"))
+    rows = distinct_observed(spark, sf_dir).withColumn("neologisms", T.neologisms(F.col("observed")))
+    return by_query(spark, sf_dir, rows).select("signal_id", F.array_join(F.array_sort(kind("compound_phrase")), ",").alias("phrases"), F.array_join(kind("platform_compression"), ",").alias("stems"), F.array_join(F.array_sort(kind("extra-grammatical", "derivational", "grammatical")), ",").alias("tails"), F.size("neologisms").alias("n_neologisms"))
 
 
 @query
@@ -149,8 +146,7 @@ def risk_score(spark, sf_dir):
 
 @query
 def scan_plan(spark, sf_dir):
-    tiers = spark.createDataFrame(X.TIERS, "tier string, cron string, hours int, max_queries int, source string")
-    return analysed(spark, sf_dir).join(F.broadcast(tiers), "tier").select("signal_id", "tier", "cron", "hours", "max_queries", "source")
+    return analysed(spark, sf_dir).select("signal_id", "tier", *[c.alias(n) for n, c in T.policy(F.col("tier")).items()])
 
 
 @query
@@ -210,9 +206,9 @@ def family_terms_top(spark, sf_dir):
 
 @query
 def backprop_changes(spark, sf_dir):
-    rows, terms = observed(spark, sf_dir), L.registry(spark)
-    one = lambda text, f, c: L.best(L.candidates(rows, "signal_id", F.col(text), terms), "signal_id").select("signal_id", F.col("family_id").alias(f), F.col("confidence").alias(c))
-    both = rows.select("signal_id").join(one("query", "f1", "c1"), "signal_id", "left").join(one("observed", "f2", "c2"), "signal_id", "left")
+    rows, terms = distinct_observed(spark, sf_dir), L.registry(spark)
+    one = lambda text, f, c: L.best(L.candidates(rows.withColumn("own", F.col(text)), "query", F.col("own"), terms), "query").select("query", F.col("family_id").alias(f), F.col("confidence").alias(c))
+    both = S.signals(spark, sf_dir).select("query").join(one("query", "f1", "c1"), "query", "left").join(one("observed", "f2", "c2"), "query", "left")
     f1, f2 = F.col("f1"), F.col("f2")
     change = F.when(f1.isNull() & f2.isNull(), "unchanged").when(f1.isNull(), "gained").when(f2.isNull(), "lost").when(f1 != f2, "reclassified").when(F.abs(F.col("c1") - F.col("c2")) >= 0.02, "confidence_shift").otherwise("unchanged")
     return both.groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
@@ -450,32 +446,46 @@ def transmission_grid(spark, sf_dir):
     return M.grid_search(rows, [0.15, 0.25, 0.35, 0.45, 0.55, 0.65], [0.04, 0.08, 0.12, 0.16])
 
 
+@query
+def transmission_best(spark, sf_dir):
+    """The five cells of the grid with the least error, the first of equal ones first."""
+    return M.best_cells(transmission_grid(spark, sf_dir)).select("rank", "beta", "gamma", "mae")
+
+
 @query
 def scenario_compare(spark, sf_dir):
-    rows = M.scenarios(spark)
-    return rows.groupBy("scenario").agg(F.max_by("rate", "step").alias("final_rate"), F.max_by("n_adopted", "step").alias("final_adopted"), F.min(F.when(F.col("rate") >= 0.5, F.col("step"))).alias("time_to_half"))
+    return M.ranked(M.scenarios(spark))
 
 
 @query
 def agents(spark, sf_dir):
-    return M.scenarios(spark)
+    return M.scenarios(spark).drop("by_role")
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexwave-")
+@query
+def agents_by_role(spark, sf_dir):
+    return M.scenarios(spark).select("scenario", "step", F.explode("by_role").alias("role", "n"))
 
 
 @query
 def stream_log_lww(spark, sf_dir):
     rows = R.log_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    return R.latest(rows, ["user_id", "event_type"], "event_id", ["value"], _checkpoint(spark)).select("user_id", "event_type", "event_id", r6("value", "value"))
+    return R.latest(rows, ["user_id", "event_type"], "event_id", ["value"], store.new_path(spark, "stream")).select("user_id", "event_type", "event_id", r6("value", "value"))
 
 
 @query
 def stream_scan_windows(spark, sf_dir):
     rows = R.log_stream(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
-    out = R.windows(rows, "at", "1 hour", "2 days", "event_type", "value", _checkpoint(spark))
+    out = R.windows(rows, "at", "1 hour", "2 days", "event_type", "value", store.new_path(spark, "stream"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-ORACLE_SQL = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
+@query
+def stream_settled(spark, sf_dir):
+    """Even events as forecasts, the next odd ones as their settlements, within an hour."""
+    rows = lambda: R.log_stream(spark, f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("at"), "value")
+    forecasts = rows().filter("event_id % 2 = 0").select(F.col("event_id").alias("forecast_id"), F.col("at").alias("made_at"))
+    settlements = rows().filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("settled_id"), F.col("at").alias("settled_at"), "value")
+    out = R.settled(forecasts, settlements, "2 days", "1 HOUR", store.new_path(spark, "stream"))
+    return out.select("forecast_id", F.date_format("settled_at", "yyyy-MM-dd HH:mm:ss").alias("settled_at"), r6("value", "value"))
+

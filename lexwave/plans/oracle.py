@@ -18,7 +18,7 @@ def count_of(col: str, words: list[str]) -> str:
 
 
 def _clean(col: str) -> str:
-    out = f"substr({col}, 1, 280)"
+    out = col
     for w in X.CLEANED:
         out = f"replace({out}, {S(w)}, '')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
@@ -28,10 +28,10 @@ _MOCK = "CASE " + " ".join(f"WHEN {any_of('lower(query)', k)} THEN {S(a)} || que
 _N = len(X.terms())
 
 
-def lineage_ctes(source: str, key: str, tag: str = "") -> str:
+def lineage_ctes(source: str, key: str, tag: str = "", rows=None) -> str:
     """cand and best over source(key, low)."""
     out = f"""
-fam AS (SELECT * FROM {X.sql_values(X.family_rows(), 'family_pos, family_id, branch_operator, term_pos, term, weight, n_terms')}),
+fam AS (SELECT * FROM {X.sql_values(rows or X.family_rows(), 'family_pos, family_id, branch_operator, term_pos, term, weight, n_terms')}),
 tok AS MATERIALIZED (SELECT DISTINCT {key}, length(low) AS chars, unnest(regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM {source}),
 hit AS (SELECT {key}, chars, fam.* FROM tok JOIN fam ON word = fam.term
     UNION ALL SELECT {key}, length(low) AS chars, fam.* FROM {source} JOIN fam ON contains(fam.term, ' ') AND contains(low, fam.term)),
@@ -53,7 +53,7 @@ SIGNALS = f"""
 WITH sig0 AS (SELECT event_id AS signal_id, user_id, event_type, ts,
     CASE WHEN user_id % 3 = 0 THEN ({_T})[event_id % {_N} + 1] || ' ' || ({_T})[(event_id * 7 + user_id) % {_N} + 1] ELSE ({_T})[event_id % {_N} + 1] END AS query FROM events),
 sig1 AS (SELECT *, {_MOCK} AS raw FROM sig0),
-sig AS MATERIALIZED (SELECT *, {_clean('raw')} AS observed, lower({_clean('raw')}) AS low FROM sig1)"""
+sig AS MATERIALIZED (SELECT *, {_clean('substr(raw, 1, 280)')} AS observed, lower({_clean('substr(raw, 1, 280)')}) AS low FROM sig1)"""
 
 _WORDS = "CASE WHEN trim(observed) = '' THEN 0 ELSE len(string_split(trim(observed), ' ')) END"
 _B = r"(^|[^a-z0-9_])"
@@ -209,6 +209,11 @@ SQL: dict[str, str] = {
 }
 
 
+from lexwave.plans import oracle_records  # noqa: E402  it builds on the texts above
+
+SQL |= oracle_records.SQL
+
+
 def _expand(sql: str) -> str:
     """stored_round(x, p) rounds the stored binary value (x split in two halves of 26 bits, so that the way to the nearest half
     unit is exact); round(x, 2, 3 or 6) is of an average or sum and rounds halves up with the same nudge as the other side."""

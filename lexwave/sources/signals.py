@@ -57,7 +57,41 @@ def read_packs(spark: SparkSession, path: str, through: tuple[int, int] | None =
     return rows.select("year", "month", "label", F.inline("terms"))
 
 
-def resolve_source(rows: DataFrame, aliases: DataFrame, offline: bool = False) -> DataFrame:
-    """source -> canonical source; unknown ones are the offline source, not ok."""
-    out = rows.join(F.broadcast(aliases), F.lower("source") == F.col("alias"), "left")
-    return out.withColumn("resolved", F.lit("mock") if offline else F.coalesce("canonical", F.lit("mock"))).withColumn("ok", F.col("canonical").isNotNull()).drop("alias", "canonical")
+def read_receipts(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """JSON receipts, one a file, from files and folders; a file named twice is read once."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+    return rows.dropDuplicates(["path"])
+
+
+def extracted_terms(raw: Column, most: int = 8) -> Column:
+    """Terms of a structured read: words with one of the known tails, each once, the first of them."""
+    tails = "|".join(X.EXTRACTED)
+    found = F.regexp_extract_all(F.lower(raw), F.lit(rf"(?<![\p{{L}}\p{{N}}_])([a-z]{{4,}}(?:{tails}))(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def filled(template: str, query: Column) -> Column:
+    before, after = template.split("{}", 1)
+    return F.concat(F.lit(before), query, F.lit(after))
+
+
+def glossaries(query: Column) -> Column:
+    """The offline glossaries as one signal, each cut to 280 characters."""
+    return F.concat_ws(" || ", *[F.substring(filled(t, query), 1, 280) for t in X.GLOSSARIES])
+
+
+def combined(parts: list[Column]) -> Column:
+    """Several sources as one signal, in order, each cut to 220 characters; a source that gave nothing (null) is left out."""
+    return F.concat_ws(" | ", *[F.substring(x, 1, 220) for x in parts])
+
+
+def glossary_terms(html: Column, most: int = 12) -> Column:
+    """The entries of a glossary page: a capitalised name, a dash and its meaning; a fixed list where there is none."""
+    names = F.regexp_extract_all(html, F.lit(r"([A-Z][a-zA-Z\s]{2,30}?)\s*[\u2014\u2013-]\s*([A-Za-z][^<]{15,70})"), F.lit(1))
+    found = F.slice(F.array_distinct(F.filter(F.transform(names, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 3)), 1, most)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, X.GLOSSARY_REST)))
+
+
+def scan_queries(rows: DataFrame, query: str, pos: str) -> DataFrame:
+    """A query list without repeats, in the order of first sight."""
+    return rows.groupBy(F.trim(F.col(query)).alias(query)).agg(F.min(pos).alias(pos)).filter(F.col(query) != "")

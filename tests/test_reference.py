@@ -1,3 +1,5 @@
+import hashlib
+import json
 import math
 
 import duckdb
@@ -6,15 +8,20 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lexwave.functions import enrich as E
 from lexwave.functions import text as T
+from lexwave.operators import backfill as B
 from lexwave.operators import calibration as C
+from lexwave.operators import inbox as I
 from lexwave.operators import ledger as G
 from lexwave.operators import lineage as L
+from lexwave.operators import receipts as P
 from lexwave.operators import simulate as M
 from lexwave.operators import vectors as V
-from lexwave.plans import catalogue
+from lexwave.plans import catalogue, oracle, records  # noqa: F401
 from lexwave.plans.analysis import observed
 from lexwave.sources import signals as S
+from lexwave.streaming import log as R
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,12 +32,12 @@ def rows(df, cols):
     return sorted(tuple(map(str, (put(v) for v in r))) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["lineage_best", "neologisms", "typology_scores", "semantic_variation", "forecasts", "ledger_stats", "murphy", "yates_vieira", "chain_tampered", "vector_topk", "stage_feedback"])
+@pytest.mark.parametrize("name", ["lineage_best", "neologisms", "typology_scores", "semantic_variation", "forecasts", "ledger_stats", "murphy", "yates_vieira", "chain_tampered", "vector_topk", "stage_feedback", "clean_documents", "scan_plan", "sources_resolved", "typology_tags", "receipt_diff", "receipt_emit", "settle_log", "registry_delta", "stream_settled", "transmission", "vector_neighbors"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    a, b = catalogue.QUERIES[name](spark, SF).toPandas(), con.execute(catalogue.ORACLE_SQL[name]).df()
+    a, b = catalogue.QUERIES[name](spark, SF).toPandas(), con.execute(oracle.SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
     assert rows(a, sorted(a.columns)) == rows(b, sorted(a.columns))
 
@@ -83,8 +90,97 @@ def test_simulations(spark):
 
 
 def test_embedding():
-    a, b = V.hashed("aura farming"), V.hashed("aura farmer")
-    assert math.isclose(float(a @ a), 1.0) and float(a @ b) > 0.3 and not V.hashed("").any()
+    a, b, none, missing = V.embeddings(["aura farming", "Aura  farmer!", "", None])
+    assert math.isclose(float(a @ a), 1.0) and float(a @ b) > 0.3 and not none.any() and not missing.any()
+    # by hand: one word of two letters is itself, two edges and two trigrams
+    want = np.zeros(256)
+    for token, w in (("yo", 1.0), ("yo#", 0.5), ("#yo", 0.5), ("c3:^yo", 0.35), ("c3:yo$", 0.35)):
+        want[hashlib.blake2b(token.encode(), digest_size=8).digest()[0]] += w
+    assert V.embeddings(["yo"])[0] == pytest.approx(want / np.sqrt((want**2).sum()))
+
+
+def test_boosts(spark):
+    terms = [("a", "aura farming"), ("a", "aura"), ("b", "skill issue"), ("c", "token")]
+    rows = spark.createDataFrame([("aura farmer",), ("skill",), ("",)], "q string")
+    got = {(r.q, r.family_id): r.boost for r in V.text_boosts(rows, "q", "q", terms).collect()}
+    x, y = V.embeddings(["aura farmer", "skill"]).astype(np.float32).astype(float), V.embeddings([t for _, t in terms]).astype(np.float32).astype(float)
+    for q, v in zip(("aura farmer", "skill"), x @ y.T, strict=True):
+        mass = {}
+        for (f, _), s in zip(terms, v, strict=True):
+            if s >= 0.12:
+                mass[f] = mass.get(f, 0) + s
+        assert {f: b for (k, f), b in got.items() if k == q} == pytest.approx({f: 0.12 * m / max(mass.values()) for f, m in mass.items()})
+    assert not any(k == "" for k, _ in got)
+
+
+def test_settle(spark):
+    rows = spark.createDataFrame([(1, 1.0, "true", "t"), (2, 0.5, "TRUE", "t"), (3, 0.0, "maybe", "t"), (4, None, "VOID", "t"), (5, 0.0, "conflict", "t")], "forecast_id long, outcome double, settlement_decision string, settled_at string")
+    got = {r.forecast_id: r for r in C.settle(rows).collect()}
+    assert got[1].settlement_id == hashlib.sha256(b"1|1.0|TRUE|t").hexdigest()[:16] and got[5].error is None
+    assert all(got[i].settlement_id is None and got[i].error for i in (2, 3, 4))
+
+
+def test_foreign_receipts(spark):
+    body = {"b": 1.50, "a": "é", "n": {"y": [1, 2], "x": None}}
+    good = body | {"receipt": {"integrity": hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]}}
+    rows = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(good | {"b": 2})), (3, "{broken"), (4, "[1]"), (5, None)], "id int, t string")
+    assert {r.id: r.ok for r in P.verify_foreign(rows, "t").collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    records_, prev = [], "0" * 64
+    for i in range(5):
+        rec = {"schema": "s", "event": "receipt", "logged_at": "t", "prev_hash": prev, "body": {"i": i, "q": "ü"}}
+        prev = P.foreign_hash(rec)
+        records_.append(rec | {"record_hash": prev})
+    log = lambda rs: spark.createDataFrame([("c", i, json.dumps(r)) for i, r in enumerate(rs)], "chain string, seq int, t string")
+    assert P.verify_foreign_log(log(records_), "chain", "seq", "t").first().ok
+    edited = [*records_[:3], records_[3] | {"body": {}}, records_[4]]
+    assert P.verify_foreign_log(log(edited), "chain", "seq", "t").first()[2:] == (False, 3, "record_hash mismatch")
+    assert P.verify_foreign_log(log([*records_[:2], *records_[3:]]), "chain", "seq", "t").first()[2:] == (False, 2, "prev_hash mismatch")
+
+
+def test_inbox(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "high"), (2, "low"), (3, None), (4, "critical"), (5, "odd")], "signal_id int, priority string")
+    path = f"{tmp_path}/inbox"
+    all_ = I.push(rows, path)
+    assert [r.signal_id for r in I.listed(all_, "high").collect()] == [4, 1] and I.listed(all_, "odd", 0).count() == 5 and I.listed(all_, limit=2).count() == 2
+    assert I.clear(spark, path, dry_run=True) == 5 and I.clear(spark, path) == 5 and I.clear(spark, path) == 0
+
+
+def test_stream_late_rows(spark, tmp_path):
+    """A row that comes after the watermark passed its window is dropped; one within it counts."""
+    at = lambda s: f"2026-01-01 {s}"
+    for i, rows in enumerate(([("10:05", 1.0), ("10:10", 1.0)], [("18:00", 1.0)], [("10:20", 1.0), ("17:30", 1.0)])):
+        spark.createDataFrame([(at(t), v) for t, v in rows], "t string, v double").selectExpr("CAST(t AS timestamp) AS at", "'k' AS k", "v").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = R.windows(R.log_stream(spark, f"{tmp_path}/in", 1), "at", "1 hour", "2 hours", "k", "v", f"{tmp_path}/state")
+    got = {r.window_start.strftime("%H:%M"): (r.n, r.total) for r in out.collect()}
+    assert got == {"10:00": (2, 2.0), "18:00": (1, 1.0), "17:00": (1, 1.0)}
+
+
+def test_enrich(spark):
+    rows = spark.createDataFrame([('noise {"candidates":[{"term":"Rizz","confidence":0.99},{"term":"newword","confidence":0.99},{"term":" "}]} tail',), ("no json",)], "raw string")
+    found = F.array(F.struct(F.lit("rizz").alias("term"), F.lit("f").alias("formation"), F.lit(0.7).alias("confidence")))
+    got = [[(t.term, t.confidence) for t in r.m] for r in rows.select(E.enriched(found, F.col("raw")).alias("m")).collect()]
+    assert got == [[("rizz", 0.7), ("newword", 0.85)], [("rizz", 0.7)]]
+    echo = rows.select(E.parsed(E.echo(F.lit("this mock channel has memes and memes-again okay"))).alias("c")).first().c
+    assert [c.term for c in echo] == ["memes", "memes-again", "okay"]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"seq": 1}\n\n{broken\n{"seq": 2}\n')
+    assert sorted(r.seq for r in S.read_log(spark, f"{tmp_path}/log.jsonl", "seq int").filter("seq IS NOT NULL").collect()) == [1, 2]
+    for month in (1, 2):
+        (tmp_path / f"p{month}.json").write_text(json.dumps({"year": 2026, "month": month, "label": f"2026-0{month}", "terms": [{"term": f"t{month}", "family_id": "f"}]}))
+    paths = f"{tmp_path}/p*.json"
+    assert S.read_packs(spark, paths).count() == 2 and [r.term for r in S.read_packs(spark, paths, (2026, 1)).collect()] == ["t1"]
+    (tmp_path / "d.json").write_text(json.dumps({"domain_id": "fin", "roots": [{"id": "r"}], "trunks": [{"id": "t", "family_id": "f"}], "leaves": [{"term": "x", "family_id": "f"}], "cross_edges": [{"from": "x", "to": "y", "operator": "o"}]}))
+    packs = spark.read.schema(B.DOMAIN).option("multiLine", True).json(f"{tmp_path}/d.json")
+    assert tuple(B.domain_sizes(packs).first()) == ("fin", 1, 1, 1, 1) and {tuple(r)[1:] for r in B.domain_edges(packs).collect()} == {("t", "x", "branch"), ("x", "y", "o")}
+
+
+def test_scenarios(spark):
+    rows = M.ranked(M.scenarios(spark)).orderBy("rank").collect()
+    assert [r.final_rate for r in rows] == sorted((r.final_rate for r in rows), reverse=True) and all(not r.cascade or r.final_rate >= 0.5 for r in rows)
+    roles = M.scenarios(spark).filter("step = 0").collect()
+    assert all(sum(r.by_role.values()) == r.n_adopted for r in roles)
 
 
 def test_clean_documents_whole(spark, tmp_path):
