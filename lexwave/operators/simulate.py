@@ -30,17 +30,18 @@ def transmission(runs: DataFrame, n: int = 6, steps: int = 12, start: float = 0.
             out.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), state[j] + growth - F.col("gamma") * state[j])))
         return F.array(*out)
 
-    # all states in one list, a step's communities after the other's: each step reads the last n and adds n
-    step = lambda acc, _: F.concat(acc, advance(F.slice(acc, -n, n)))
-    rows = runs.withColumn("eff", eff).withColumn("sim", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step))
-    rows = rows.withColumn("means", F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda t: F.round(_sum(F.slice("sim", t * n + 1, n)) / n, 4)))
+    mean = lambda state: F.round(_sum(state) / n, 4)
+    # transform over one element binds the new state to a name, so that it is computed once
+    step = lambda acc, _: F.transform(F.array(advance(acc["state"])), lambda new: F.struct(new.alias("state"), F.concat(acc["means"], F.array(mean(new))).alias("means")))[0]
+    rows = runs.withColumn("eff", eff).withColumn("sim", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(first.alias("state"), F.array(mean(first)).alias("means")), step))
+    rows = rows.withColumn("means", F.col("sim.means"))
     means = F.col("means")
     last, most = F.element_at(means, -1), F.array_max(means)
     tail = F.slice(means, -3, 3)
     mu = _sum(tail) / 3
     return rows.select(
         "run_id", "beta", "gamma", "hybrid", last.alias("final_mean"), F.greatest(F.lit(start), most).alias("peak"), F.when(most > start, F.array_position(means, most) - 1).otherwise(0).alias("time_to_peak"), most.alias("max_mean"),
-        (F.aggregate(F.slice("sim", -n, n), F.lit(0), lambda s, x: s + (x >= threshold).cast("int")) / n).alias("reach"), (_sum(F.transform(tail, lambda m: F.pow(m - mu, 2))) / 3 < 0.002).alias("stabilizing"),
+        (F.aggregate(F.col("sim.state"), F.lit(0), lambda s, x: s + (x >= threshold).cast("int")) / n).alias("reach"), (_sum(F.transform(tail, lambda m: F.pow(m - mu, 2))) / 3 < 0.002).alias("stabilizing"),
     )
 
 
