@@ -207,3 +207,9 @@ def test_vector_queries_all(spark, name, least, k, label):
     got = catalogue.QUERIES[f"vector_{name}_all"](spark, "/root/testdata/sf0.01").collect()
     keys = {(r.query_id, r.label): r.boost for r in got} if name == "family_boost" else {(r.query_id, r.rank, r.vec_id): r.score for r in got}
     assert len(got) == len(want) and len({r.query_id for r in got}) > 1 and keys == pytest.approx(want, abs=2e-6)
+
+
+def test_verbs():
+    from lexwave.api import VERBS
+
+    assert len(VERBS) > 40 and all(callable(f) for f in VERBS.values())
