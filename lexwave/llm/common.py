@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Rows go to Python in batches of a few MB, so that long texts don't fill a worker or the memory beside the JVM's heap.
+    A smaller limit that the session already has stays."""
+    if int(str(spark.conf.get(_BATCH, str(most + 1))).rstrip("b")) > most:
+        spark.conf.set(_BATCH, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

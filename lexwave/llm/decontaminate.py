@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, broadcast_if_small, fresh, saved, table
+from .common import SMALL, bound_batches, broadcast_if_small, fresh, saved, table
 from .words import each
 
 K, COVERAGE = 5, 0.8
@@ -101,6 +101,7 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_words, n_tiles, covered, coverage of all pairs that share a seed."""
+    bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     ks = tuple(range(1, K + 1))
     seeds = items.mapInArrow(_grams(ks, None, True), _PLACES).select(F.col("id").alias("item_id"), "n_words", F.explode("places").alias("p")).select("item_id", "n_words", "p.k", "p.h", F.col("p.pos").alias("i"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import bound_batches, held_out, table
 from .words import LOWER, blocks, release, utf8
 
 NS, WIDTH, LANDMARKS, TRAIN, RIDGE, UND = (1, 2, 3), 1 << 13, 192, 1600, 1e-3, "und"
@@ -125,6 +125,7 @@ def learn(docs: DataFrame, label: str = "lang"):
 
 def language_id(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs; the model is learned from train (doc_id, text, lang)."""
+    bound_batches(spark)
     model = learn(train)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
     return out.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -150,4 +151,5 @@ def _kept(model):
 def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those that get `und`; all their columns. The model is learned from docs' own text and lang; without one,
     only texts that are null or have no letter go."""
+    bound_batches(spark)
     return docs.filter(_kept(learn(docs))(F.col("text").cast("string")))

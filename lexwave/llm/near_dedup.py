@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL, broadcast_if_small, components, drop, fresh, partitions, saved, table
+from .common import SMALL, bound_batches, broadcast_if_small, components, drop, fresh, partitions, saved, table
 from .words import blocks, each, mix
 
 K, SIMILARITY, RARE, DAMP, BANDS, ROWS = 5, 0.8, 1e-3, 0.25, 14, 4
 #: Rounds of stars; members up to which a bucket compares its components directly; samples of the documents of wider ones.
 STARS, WIDE, POOL, FINE_BANDS, FINE_ROWS = 2, 32, 1024, 288, 16
 #: Distinct hashes a task holds before it hands them on; members that share one copy of those they are compared with.
-_HOLD, _BLOCK, _EPS = 1 << 22, 512, 1e-9
+_HOLD, _BLOCK, _EPS = 1 << 20, 512, 1e-9
 #: Bits that a sketch holds of each sample, and the samples of two sketches that may differ: the mean at SIMILARITY and
 #: four standard deviations.
 _PLANE = ("p0", "p1", "p2", "p3")
@@ -450,6 +450,7 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
 
 def _classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """near_classes of docs (doc_id, text) whose ids stand on one text each."""
+    bound_batches(spark)
     weigh = idf(spark, docs)
     marks = saved(spark, docs.mapInArrow(_signatures(weigh), "doc_id long, key binary, total double, bands array<long>"), "marks")
     # equal texts: the smallest doc_id stands for them

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, table
+from .common import bound_batches, new_path, partitions, table
 from .words import blocks, release, utf8
 
 #: TEXT_BLOCK: bytes of text encoded at once; what is held beside the ids is some twenty times that.
@@ -266,6 +266,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Ranges are cut by doc_id, then by the text's hash and the row's place, so that rows of one doc_id may fill many."""
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), "h", "place"]
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import bound_batches, held_out, table
 from .words import BLOCK, Words, blocks, mix, utf8
 
 BITS, DIM, NS, WINDOW, STRIDE = 20, 8, (3, 4, 5), 2, 1
@@ -177,6 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> np.ndarra
 
 def toxicity(spark: SparkSession, docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
+    bound_batches(spark)
     model = learn(train_docs, labels)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text"))
     return out.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
