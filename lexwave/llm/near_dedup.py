@@ -40,6 +40,8 @@ K, SIMILARITY, RARE, DAMP, BANDS, ROWS = 5, 0.8, 1e-3, 0.25, 14, 4
 STARS, WIDE, POOL, FINE_BANDS, FINE_ROWS = 2, 32, 1024, 288, 16
 #: Distinct hashes a task holds before it hands them on; members that share one copy of those they are compared with.
 _HOLD, _BLOCK, _EPS = 1 << 20, 512, 1e-9
+#: Shared fine keys of a task.
+_MEET = 1 << 13
 #: Bits that a sketch holds of each sample, and the samples of two sketches that may differ: the mean at SIMILARITY and
 #: four standard deviations.
 _PLANE = ("p0", "p1", "p2", "p3")
@@ -192,7 +194,14 @@ def _count_keys(ranges: int):
     return lambda batches: _tallied(ranges, (batch.column("bands").flatten().to_numpy().view(np.uint64) for batch in batches))
 
 
-_SLOTS = 24
+#: Members up to which a fine bucket is settled in one task.
+_SLOTS, _ALONE = 24, 1024
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _SLOTS, bool)
+    out[keys >> np.uint64(64 - _SLOTS)] = True
+    return out
 
 
 def _picked(slots: np.ndarray | None):
@@ -210,19 +219,85 @@ def _picked(slots: np.ndarray | None):
     return run
 
 
-def _shared(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """(id, band, bucket) of the fine keys that several documents have. A key tells its band."""
-    ranges = 4 * partitions(spark)
-    counts = keyed.select("bands").mapInArrow(_count_keys(ranges), "range int, h binary, c binary")
-    several = saved(spark, counts.groupBy("range").applyInPandas(_frequent(1), "h long, df long").select("h"), "shared")
-    slots = None
-    if several.limit(SMALL + 1).count() <= SMALL:  # else all keys are joined
-        slots = np.zeros(1 << _SLOTS, bool)
-        slots[several.toPandas()["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SLOTS)] = True
-    rows = keyed.select("id", "bands").mapInArrow(_picked(slots), "id long, bucket long").join(broadcast_if_small(several), F.col("bucket") == F.col("h"), "left_semi")
-    rows = saved(spark, rows.select("id", F.lit(0).alias("band"), "bucket"), "fine")
-    drop(spark, several)
-    return rows
+_MET = {"key": np.uint64, "at": np.int32, "id": np.int64, "label": np.int64, "total": np.float64, "sketch": np.uint64}
+
+
+def _packed(slots: np.ndarray | None, ranges: int):
+    """A batch's marked keys by range of the key, a row each: the keys, whose they are, and what those documents are met by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            keep = np.flatnonzero(slots[keys >> np.uint64(64 - _SLOTS)]) if slots is not None else np.arange(len(keys))
+            keep = keep[np.argsort(keys[keep])]
+            keys, doc = keys[keep], keep // FINE_BANDS
+            own = {c: batch.column(c).to_numpy() for c in ("id", "label", "total")}
+            flat = batch.column("sketch").flatten()
+            own["sketch"] = np.stack([flat.field(p).to_numpy() for p in range(len(_PLANE))], 1).reshape(len(batch), -1)
+            cut = np.searchsorted(keys >> np.uint64(32), (np.arange(1, ranges) << 32) // ranges)
+            rows = []
+            for i, (k, d) in enumerate(zip(np.split(keys, cut), np.split(doc, cut), strict=True)):
+                if len(k):
+                    there, at = np.unique(d, return_inverse=True)
+                    rows.append((i, k.tobytes(), at.astype(np.int32).tobytes(), *(np.ascontiguousarray(x[there]).tobytes() for x in own.values())))
+            cols = list(zip(*rows, strict=True)) or [()] * (1 + len(_MET))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["range", *_MET])
+
+    return run
+
+
+def _met(star: bool):
+    """The pairs of a range's buckets between components that may be alike: of all members with a hub, or else of the members
+    outside the largest component with all others. Wider buckets than _ALONE are left out."""
+
+    def run(pdf):
+        import pandas as pd
+
+        col = {c: [np.frombuffer(x, t) for x in pdf[c]] for c, t in _MET.items()}
+        step = np.cumsum([0, *map(len, col["id"])])
+        at = np.concatenate([x + s for x, s in zip(col["at"], step[:-1], strict=True)])
+        key, ids, label, total, sketch = (np.concatenate(col[c]) for c in ("key", "id", "label", "total", "sketch"))
+        sketch = sketch.reshape(len(ids), -1, len(_PLANE))
+        # documents stand in the hubs' order, which is the same in all ranges
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, mix(ids.view(np.uint64))))] = np.arange(len(ids))
+        order = np.lexsort((rank[at], key))
+        key, at = key[order], at[order]
+        cut = np.flatnonzero(np.diff(key)) + 1
+        pairs, kept = [], []
+        for x in np.split(at, cut):
+            if len(x) < 2 or len(x) > _ALONE or (label[x] == label[x[0]]).all():
+                continue
+            if star:
+                pairs.append(np.stack([x[1:], np.full(len(x) - 1, x[0])], 1)[label[x[1:]] != label[x[0]]])
+                continue
+            names, of, size = np.unique(label[x], return_inverse=True, return_counts=True)
+            main = of == np.argmax(size)
+            rest = x[~main]
+            pairs.append(np.stack(np.broadcast_arrays(rest[:, None], x[main]), 2).reshape(-1, 2))
+            i, j = np.triu_indices(len(rest), 1)
+            i, j = rest[i], rest[j]
+            pairs.append(np.stack([i, j], 1)[label[i] != label[j]])
+            if sum(map(len, pairs)) > _HOLD:
+                kept.append(_alike(np.concatenate(pairs), ids, total, sketch))
+                pairs = []
+        if pairs:
+            kept.append(_alike(np.concatenate(pairs), ids, total, sketch))
+        pairs = np.concatenate(kept) if kept else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": ids[pairs].min(1, initial=2**63 - 1), "b": ids[pairs].max(1, initial=-(2**63))})
+
+    return run
+
+
+def _alike(pairs: np.ndarray, ids: np.ndarray, total: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Those of pairs, each once, whose total weights and sketches let them be alike, as _near has it."""
+    pairs = np.sort(pairs, 1)
+    pairs = np.unique(pairs[:, 0] * np.int64(len(ids)) + pairs[:, 1])
+    pairs = np.stack([pairs // len(ids), pairs % len(ids)], 1)
+    t = total[pairs]
+    pairs = pairs[t.min(1) >= (SIMILARITY - _EPS) * t.max(1)]
+    differ = [np.bitwise_count(np.bitwise_or.reduce(sketch[p[:, 0]] ^ sketch[p[:, 1]], 2)).sum(1, dtype=np.int64) for p in np.split(pairs, range(4096, len(pairs), 4096))]
+    return pairs[np.concatenate(differ) <= _DIFFER]
 
 
 def _squeeze(counts: bytes) -> bytes:
@@ -336,11 +411,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similarities(spark: SparkSession, pairs: DataFrame, shingles: DataFrame, what: str) -> DataFrame:
-    """(a, b, sim) of pairs (a, b): each pair takes b's shingles, then a's. A hub's pairs are many rows of one key beside its one
-    row, which adaptive execution splits."""
-    one = shingles.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    two = shingles.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-    return saved(spark, pairs.join(two, "b").join(one, "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
+    """(a, b, sim) of pairs (a, b), a table of saved: each pair takes b's shingles, then a's. Only the shingles of documents that
+    the pairs name are dealt out. A hub's pairs are many rows of one key beside its one row, which adaptive execution splits."""
+
+    def of(side: str) -> DataFrame:
+        named = saved(spark, pairs.select(side).distinct(), "named")
+        named_by.append(named)
+        return shingles.select(F.col("id").alias(side), F.col("h").alias(f"h{side}"), F.col("w").alias(f"w{side}")).join(broadcast_if_small(named), side, "left_semi")
+
+    named_by: list[DataFrame] = []
+    out = saved(spark, pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify, "a long, b long, sim double"), what)
+    drop(spark, *named_by)
+    return out
 
 
 class _Links:
@@ -359,13 +441,20 @@ class _Links:
         """Verifies pairs (a, b) that are not known; joins the components of alike ones."""
         if self.compared is not None:
             pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = saved(self.spark, pairs.select("a", "b"), "pairs")
+        if not pairs.limit(1).count():
+            drop(self.spark, pairs)
+            return
         got = _similarities(self.spark, pairs, self.shingles, "compared")
+        drop(self.spark, pairs)
         self.compared = got if self.compared is None else self.compared.unionByName(got)
         if got.filter(F.col("sim") >= SIMILARITY).limit(1).count():
             before, self.labels = self.labels, components(self.spark, self.alike())
             drop(self.spark, before)
 
     def alike(self) -> DataFrame:
+        if self.compared is None:
+            return self.spark.createDataFrame([], "a long, b long, sim double")
         return self.compared.filter(F.col("sim") >= SIMILARITY)
 
 
@@ -416,12 +505,26 @@ def _fine(spark: SparkSession, links: _Links, hot: DataFrame) -> None:
     left = own.join(may, F.col("id") == F.col("may")).filter(F.col("common") >= (SIMILARITY - 1e-6) * F.col("total")).select("id", "total", "h", "w")
     keyed = left.repartition(partitions(spark)).mapInArrow(_finer, f"id long, bands array<long>, sketch array<struct<{', '.join(f'{c}: long' for c in _PLANE)}>>")
     keyed = saved(spark, keyed.join(hot, "id"), "finer")
-    rows = _shared(spark, keyed)
-    full = lambda: links.labelled(rows.join(keyed.select("id", "total", "sketch"), "id"))
-    links.compare(_star(full(), 1, True))
-    again = full()
-    links.compare(_across(again, _open(again), True))
-    drop(spark, own, keyed, rows)
+    ranges = 4 * partitions(spark)
+    counts = keyed.select("bands").mapInArrow(_count_keys(ranges), "range int, h binary, c binary")
+    several = saved(spark, counts.groupBy("range").applyInPandas(_frequent(1), "h long, df long"), "shared")
+    n = several.agg(F.sum("df")).first()[0] or 0
+    slots = None
+    if several.limit(SMALL + 1).count() <= SMALL:  # else all keys are dealt out
+        slots = _slots(several.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    parts = min(ranges, max(6, n // _MEET))
+    for star in (True, False):
+        packed = links.labelled(keyed).select("id", "label", "total", "bands", "sketch").mapInArrow(_packed(slots, parts), "range int, " + ", ".join(f"{c} binary" for c in _MET))
+        links.compare(packed.groupBy("range").applyInPandas(_met(star), "a long, b long").distinct())
+    wider = saved(spark, several.filter(F.col("df") > _ALONE).select("h"), "wider")
+    if wider.limit(1).count():
+        rows = keyed.select("id", "bands").mapInArrow(_picked(slots), "id long, bucket long").join(broadcast_if_small(wider), F.col("bucket") == F.col("h"), "left_semi")
+        rows = saved(spark, rows.select("id", F.lit(0).alias("band"), "bucket").join(keyed.select("id", "total", "sketch"), "id"), "fine")
+        links.compare(_star(links.labelled(rows), 1, True))
+        again = links.labelled(rows)
+        links.compare(_across(again, _open(again), True))
+        drop(spark, rows)
+    drop(spark, own, keyed, several, wider)
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:

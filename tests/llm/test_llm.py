@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexwave.llm import ann, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, preferences, token_store, toxicity
+from lexwave.llm import ann, common, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, preferences, token_store, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, a int, label int, id string, p double, mix_words long, times int, bad_id long, gone_id long, number long, row string, uid long, row_number long, n_words int, size int, h string"
 
@@ -276,6 +276,43 @@ def test_near_dedup_wide(spark, monkeypatch):
     assert got == want and 20 < len({*want.values()}) < 130
 
 
+def test_near_dedup_wide_rows(spark, monkeypatch):
+    """The fine keys of a loose group make no rows of their own; buckets too wide for one task give the same classes."""
+    rows, saved = Counter(), near_dedup.saved
+
+    def counted(session, df, what):
+        out = saved(session, df, what)
+        rows[what] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", counted)
+    monkeypatch.setattr(near_dedup, "WIDE", 4)
+    rng, passage = random.Random(4), sentence(900, 100).split()
+    texts = [" ".join(passage[: rng.randrange(80, 100)] + sentence(9000 + i, rng.randrange(2, 30)).split()) for i in range(140)]
+    want = weighted_classes(texts)
+    out, _ = near_dedup.near_classes(spark, docs(spark, texts))
+    assert {r.doc_id: r.class_id for r in out.collect()} == want and rows["finer"] > 20 and not rows["fine"]
+    monkeypatch.setattr(near_dedup, "_ALONE", 3)
+    out, _ = near_dedup.near_classes(spark, docs(spark, texts))
+    assert {r.doc_id: r.class_id for r in out.collect()} == want and rows["fine"]
+
+
+def test_components(spark, monkeypatch):
+    """Few edges are joined by the driver and written once; more are joined in Spark with the same labels."""
+    made, saved = [], common.saved
+    monkeypatch.setattr(common, "saved", lambda session, df, what: made.append(what) or saved(session, df, what))
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)] + [(900, 7), (900, 8), (-3, 8), (2**60, 2**60 + 1)]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.label for r in common.components(spark, table).collect()} == label and made == ["labels"]
+    assert {r.node: r.label for r in common.components(spark, table, 3).collect()} == label and len(made) > 3
+    assert common.components(spark, table.limit(0)).count() == 0
+
+
 def test_near_dedup_ids(spark):
     a, b, c, d = (sentence(7000 + i, 80) for i in range(4))
     near = " ".join(a.split()[:-3])
