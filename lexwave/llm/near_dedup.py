@@ -5,7 +5,7 @@ that more than RARE of all documents have. Those number at most (mean shingles p
 input, and so are broadcast; all others weigh alike. The damping keeps near copies of a very large group alike: with
 the plain logarithm, the few words changed in one copy would outweigh all that the group shares.
 
-Documents with equal texts form a group first (by a 128-bit hash). Verified pairs are joined to components in Spark, and
+Documents with equal texts form a group first (by a 128-bit hash). Verified pairs are joined to components, and
 a pair inside one component needs no check. So buckets are settled by rounds: STARS times, each member is compared with
 one member of its bucket, a hub, if that is of another component. Of buckets that still hold several components,
 small ones (WIDE members at most) compare all members of the smaller components with the rest. The documents of wide ones
