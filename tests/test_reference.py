@@ -1,6 +1,10 @@
+import functools
 import hashlib
 import json
 import math
+import operator
+import re
+from datetime import datetime, timezone
 
 import duckdb
 import numpy as np
@@ -209,6 +213,65 @@ def test_vector_queries_all(spark, name, least, k, label):
     assert len(got) == len(want) and len({r.query_id for r in got}) > 1 and keys == pytest.approx(want, abs=2e-6)
 
 
+def rows_of_joins(df):
+    """Rows that the joins of the plan make in all, when it runs."""
+    df.collect()
+
+    def count(p):
+        inner = [getattr(p, name)() for name in ("executedPlan", "plan") if name in dir(p)]
+        rows = p.metrics().get("numOutputRows") if re.search("Join|Cartesian", p.nodeName()) else None
+        children = p.children()
+        return (rows.get().value() if rows is not None and rows.isDefined() else 0) + sum(map(count, inner or [children.apply(i) for i in range(children.size())]))
+
+    return count(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["vector_family_boost_all"])
+def test_vector_searches_without_pairs(spark, name):
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = (table.vec_id % 100 == 0).sum()
+    assert queries > 10 and 0 < rows_of_joins(catalogue.QUERIES[name](spark, "/root/testdata/sf0.1")) <= 2 * (len(table) + queries)
+
+
+def test_top_k_each_in_blocks(spark, monkeypatch):
+    """Many blocks, copies on both sides, null, short, empty and non-finite vectors, a null id, other columns: as plain Python finds them."""
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(V, "LEAST_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.integers(-2, 3, 3) / 3)], i % 4) for i in range(200)]
+    rows += [(1000, None, 1), (1001, [], 1), (1100, [1.0, None, 0.0], 1), (1101, [0.5], 1), (1200, [math.nan, 1.0, 0.0], None), (1201, [math.inf, 1.0, 1.0], 2), (None, [1.0, 0.0, 0.0], 3)]
+    rows = [(i, v, label, datetime(2026, 1, 1, tzinfo=timezone.utc), {"n": str(i)}) for i, v, label in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, at timestamp, meta map<string,string>").repartition(3)
+    asked = table.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    want = []
+    for q, x in [(i, v) for i, v, *_ in rows if i is not None and i % 20 == 0 and v is not None]:
+        score = [(functools.reduce(operator.add, (a * b for a, b in zip(x, y, strict=True)), 0.0), i) for i, y, *_ in rows if y is not None and len(x) == len(y) and None not in (*x, *y)]
+        found = sorted((not math.isnan(s), -s if s == s else 0, -1 if i is None else i, s) for s, i in score if not s < 0.15)[:7]
+        want += [(q, rank, None if i == -1 else i, str(s + 0.0)) for rank, (_, _, i, s) in enumerate(found, 1)]
+    got = V.top_k_each(table, asked, 7)
+    assert got.columns == ["vec_id", "label", "at", "meta", "query_id", "score", "rank"]
+    assert sorted(map(str, want)) == sorted(str((r.query_id, r["rank"], r.vec_id, str(r.score))) for r in got.collect()) and all(r.meta == {"n": str(r.vec_id)} for r in got.collect())
+
+
+@pytest.mark.parametrize(("rows", "kinds", "k"), [(900, 900, 10), (900, 7, 10), (900, 40, 3), (5, 5, 10), (300, 300, 299)])
+def test_best_rows(monkeypatch, rows, kinds, k):
+    """The products' tiles against sums in order, to the last bit."""
+    monkeypatch.setattr(V, "TILE", (16, 128))
+    rng = np.random.default_rng(rows + kinds)
+    y = rng.normal(size=(kinds, 24)).astype(np.float32).astype(float)[rng.integers(0, kinds, rows)] / 5
+    y[::50, 3] = np.resize([1e200, np.inf, np.nan, -0.0], len(y[::50]))
+    x = y[:40]
+    want = []
+    for i in range(len(x)):
+        score = np.zeros(rows)
+        with np.errstate(all="ignore"):
+            for c in range(24):
+                score = score + x[i, c] * y[:, c]
+        kept = np.flatnonzero(~(score < 0.1))
+        want += [(i, j, str(score[j])) for j in kept[np.lexsort((kept, -score[kept], ~np.isnan(score[kept])))][:k]]
+    assert [(i, j, str(s)) for i, j, s in zip(*V.best_rows(x, y, k, 0.1), strict=True)] == want
+
+
 def test_verbs():
     from lexwave.api import VERBS
 
