@@ -226,7 +226,7 @@ def rows_of_joins(df):
     return count(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["vector_family_boost_all"])
+@pytest.mark.parametrize("name", ["vector_family_boost_all", "vector_topk_all"])
 def test_vector_searches_without_pairs(spark, name):
     table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
     queries = (table.vec_id % 100 == 0).sum()
